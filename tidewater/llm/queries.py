@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import langid, linerules, media, packing, sharding, suffixtree, warc
+from tidewater.llm import langid, linerules, media, packing, sharding, simhash, suffixtree, warc
 from tidewater.llm.common import table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.deduplicated(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -37,7 +41,7 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op4_sharding, op5_quality_rules, op6_media, op8_packing, op9_language, op10_suffix_tree)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_warc, op4_sharding, op5_quality_rules, op6_media, op8_packing, op9_language, op10_suffix_tree)}
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS largest FROM pages)
