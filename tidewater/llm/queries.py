@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import langid, linerules, media, packing, sharding, simhash, suffixtree, warc
+from tidewater.llm import langid, linerules, media, mixing, packing, sharding, simhash, suffixtree, warc, weaklabels
 from tidewater.llm.common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return weaklabels.classify(docs, weaklabels.learn(docs))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,6 +34,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -41,7 +50,8 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_warc, op4_sharding, op5_quality_rules, op6_media, op8_packing, op9_language, op10_suffix_tree)}
+_all = (op1_quality_classifier, op2_simhash, op3_warc, op4_sharding, op5_quality_rules, op6_media, op7_mixing, op8_packing, op9_language, op10_suffix_tree)
+QUERIES = {f.__name__: f for f in _all}
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS largest FROM pages)
