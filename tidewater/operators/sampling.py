@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -49,17 +50,17 @@ def first_round(u: Column, rate: float, use_count: Column) -> Column:
     return F.floor(u / F.lit(rate)) == use_count
 
 
-def sample_uses(n: int, rate: float, uses: int, draw: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def sample_uses(n: int, rate: float, uses: int, draw: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(position, use) of every sampling of n positions in the first uses, each use taking about rate * n of them.
 
     A uniform number laid on a line of shares, each ``rate`` long, names a position's use. The line holds a whole number
     of shares and a rest; positions on the rest belong to the use after the line, whose share is then completed from a
-    fresh line, laid for the others alone and starting with what the rest left over. draw yields n new numbers a line.
+    fresh line, laid for the others alone and starting with what the rest left over. draw gives n new numbers for each line.
     """
     found, lead, base, live = [], rate, 0, np.ones(n, bool)
     while base < uses:
         whole = int((1.0 - lead) / rate) + 1
-        u = next(draw)
+        u = draw()
         use = np.where(u < lead, 0, np.floor((u - lead) / rate).astype(np.int64) + 1)
         at = np.flatnonzero(live & (base + use < uses))
         found.append((at, base + use[at]))
@@ -70,14 +71,15 @@ def sample_uses(n: int, rate: float, uses: int, draw: Iterator[np.ndarray]) -> t
     return at, use
 
 
-def probabilistic_sequence(df: DataFrame, chunk: str, frame: str, probability: str, take: int, skip: Column, seed: str, most_skip: int) -> DataFrame:
+def probabilistic_sequence(df: DataFrame, chunk: str, frame: str, probability: str, take: int, skip: Column, seed: str, most_skip: int, uses: str | None = None) -> DataFrame:
     """Frames skip .. skip + take - 1 of each chunk's endless sequence: permutations one after another, thinned by probability.
 
-    Probabilities' maximum is one, so each block yields a frame at least and skip + take blocks are enough.
+    Probabilities' maximum is one, so each block yields a frame at least and skip + take blocks are enough. With uses,
+    a chunk's rows of each value of that column are taken apart; they share the chunk's sequence.
     """
     blocks = df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(most_skip + take - 1))))
     kept = blocks.where(rng.uniform(seed, "accept", F.col(chunk), F.col("block"), F.col(frame)) < F.col(probability))
-    order = Window.partitionBy(chunk).orderBy("block", rng.uniform(seed, "order", F.col(chunk), F.col("block"), F.col(frame)), frame)
+    order = Window.partitionBy(chunk, *([uses] if uses else [])).orderBy("block", rng.uniform(seed, "order", F.col(chunk), F.col("block"), F.col(frame)), frame)
     return kept.withColumn("place", F.row_number().over(order) - F.lit(1)).where((F.col("place") >= skip) & (F.col("place") < skip + take))
 
 
@@ -98,14 +100,14 @@ def unpack(chunks: DataFrame, seed: str, rate: float | None = None, count: int |
         chosen = chunks.where(F.size("frames") > 0).select("*", F.explode(places).alias("frame_idx"))
         return chosen.withColumn("frame", F.get("frames", F.col("frame_idx"))).drop("frames")
     slim = chunks.where(F.size("frames") > 0).select(chunk, "use_count", F.posexplode("frames").alias("frame_idx", "frame")).withColumn("probability", F.lit(1.0))
-    return probabilistic_sequence(slim, chunk, "frame_idx", "probability", count, F.col("use_count") * count, seed, most_uses * count).drop("probability", "block")
+    return probabilistic_sequence(slim, chunk, "frame_idx", "probability", count, F.col("use_count") * count, seed, most_uses * count, "use_count").drop("probability", "block")
 
 
 def prefetched(unpacked: DataFrame, chunk: str = "global_index") -> tuple[DataFrame, DataFrame]:
     """(each chunk's first frame, cache requests for the rest with next_use)."""
-    first = F.row_number().over(Window.partitionBy(chunk).orderBy("place"))
+    first = F.row_number().over(Window.partitionBy(chunk, "use_count").orderBy("place"))
     marked = unpacked.withColumn("_first", first)
-    rest = marked.where("_first > 1").groupBy(chunk).agg((F.first("use_count") + F.lit(1)).alias("next_use"), F.sort_array(F.collect_list(F.struct("place", "frame"))).alias("items"))
+    rest = marked.where("_first > 1").groupBy(chunk, (F.col("use_count") + F.lit(1)).alias("next_use")).agg(F.sort_array(F.collect_list(F.struct("place", "frame"))).alias("items"))
     return marked.where("_first = 1").drop("_first"), rest
 
 
@@ -146,7 +148,7 @@ def sampled_positions(chunks: DataFrame, rate: float, uses: int, seed: str, chun
         out = []
         for k, n_ in zip(key, size, strict=True):
             draw = np.random.default_rng([zlib.crc32(f"{seed}:{k}".encode())])
-            at, use = sample_uses(n_, rate, uses, iter(lambda d=draw, m=n_: d.random(m), None))
+            at, use = sample_uses(n_, rate, uses, partial(draw.random, n_))
             out.append([{"frame_idx": i, "use_count": u} for i, u in zip(at.tolist(), use.tolist(), strict=True)])
         return pd.Series(out)
 

@@ -76,7 +76,7 @@ def glob_regex(glob: str) -> str:
         c = glob[i]
         end = glob.find("]", i + 2)
         if c == "[" and end > 0:
-            inner = glob[i + 1 : end].replace("\\", "\\\\")
+            inner = glob[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[")
             out.append(f"[{'^' + inner[1:] if inner[0] == '!' else inner}]")
             i = end + 1
             continue
