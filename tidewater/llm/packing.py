@@ -12,6 +12,7 @@ last window may be short, so padding is under one window for a whole corpus.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,8 +26,12 @@ from tidewater.llm.common import map_batches, stored
 
 WINDOW = 2048
 END_ID = 1
-#: Distinct space-separated strings whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Distinct space-separated strings whose ids a worker remembers, and bytes of text that it splits at a time.
+REMEMBERED, AT_A_TIME = 900_000, 1 << 18
+#: Partitions whose starts, twelve bytes each, are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Signs that are stripped from a string's end before it is encoded; they are a run of their own for the splitter.
+SIGNS = ".,;:!?*#%&$|"
 
 _known: dict[str, dict[str, bytes]] = {}
 _tokenizers: dict = {}
@@ -41,27 +46,66 @@ class Ids:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel units
         from tokenizers import Tokenizer
 
         if path not in _tokenizers:
-            _tokenizers[path] = Tokenizer.from_file(path)
-            _tokenizers[path].encode_special_tokens = True  # their strings in a text are ordinary text
-        self.tokenizer, self.known = _tokenizers[path], _known.setdefault(path, {})
+            found = Tokenizer.from_file(path)
+            found.encode_special_tokens = True  # their strings in a text are ordinary text
+            ends = np.zeros(found.get_vocab_size() + 1, bool)
+            ends[[i for token, i in found.get_vocab().items() if token.endswith("</w>")]] = True
+            _tokenizers[path] = found, ends
+        (self.tokenizer, self.ends), self.known = _tokenizers[path], _known.setdefault(path, {})
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def texts(self, texts: list[str]) -> list[bytes]:
+    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        """Each text's ids, a few texts at a time."""
+        part, size = [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t)
+            if size > AT_A_TIME:
+                yield from self.few(part)
+                part, size = [], 0
+        yield from self.few(part)
+
+    def few(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        new = set().union(*split).difference(known)
+        plain, parts = set(), []
+        for w in new:
+            base = w.rstrip(SIGNS)
+            if base is not w and base.isalpha():
+                low = base.lower() if base.isascii() else base
+                parts.append((w, low, w[len(base) :]))
+                plain.add(low)
+                plain.add(w[len(base) :])
+            else:
+                plain.add(w)
+        fresh = [w for w in plain if w not in known]
+        known.update(self.letters([w for w in fresh if w.isalpha()]))
+        rest = [w for w in fresh if w not in known]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        for w, low, signs in parts:
+            known[w] = known[low] + known[signs]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+
+    def letters(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(word, ids) of words of letters alone: each is one run, and only a run's last id is a word end."""
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):  # else they are encoded one by one
+                data, ends = ids.tobytes(), (4 * ends).tolist()
+                yield from zip(part, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True)
 
 
 def default_vocabulary() -> str:
@@ -108,7 +152,8 @@ def pack(df: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end
     for part, n in totals:
         bases.append((part, base))
         base += n
-    placed = done.join(spark.createDataFrame(bases, "part int, base bigint"), "part").select("doc_id", "ids", "tokens", (F.col("base") + F.col("start")).alias("at"))
+    starts = spark.createDataFrame(bases, "part int, base bigint")
+    placed = done.join(F.broadcast(starts) if len(bases) <= BROADCAST_ROWS else starts, "part").select("doc_id", "ids", "tokens", (F.col("base") + F.col("start")).alias("at"))
     kind = df.schema[id_col].dataType.simpleString()
     more = ", ids binary" if with_ids else ""
 
