@@ -1,10 +1,10 @@
 """WARC archives with revisit resolution.
 
 Payload digests are shuffled without the payloads: of records with equal payloads of at least ``least`` bytes, that
-with the largest id is the response and the others are revisits of it. Records get fresh headers and go out as text
-rows of raw bytes whose line separator is the record end, so that Spark's own writer commits WARC/1.1 files to any
-file system it knows. Reading parses the files' bytes by Content-Length, tests digests and joins revisits to their
-responses for what they leave out.
+with the largest id is the response and the others are revisits of it. Records get fresh headers, each is a gzip member of its own, and they
+go out as text rows of raw bytes whose line separator is an empty gzip member, so that Spark's own writer commits
+WARC/1.1 files to any file system it knows. Reading parses the files' bytes by Content-Length, tests digests and joins
+revisits to their responses for what they leave out.
 
 Nulls and edges: a null html is an empty payload, a null url an empty target. Rows that repeat the largest id are all
 responses; where a group has only null ids, all are. A null id among others is a revisit. An empty table writes no
@@ -14,7 +14,9 @@ records. Columns besides the three are not read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -23,13 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import map_batches, new_path
+from tidewater.llm.common import map_batches, new_path, stored
 
 LEAST_BYTES = 1000
 #: Archives hold about so many bytes of payload, by the mean record; a reader holds one archive at a time.
 ARCHIVE_BYTES = 8 << 20
+#: Groups of equal payloads, under a hundred bytes each, that are broadcast at most.
+BROADCAST_ROWS = 100_000
 DATE = "2024-01-01T00:00:00Z"
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
+LEVEL = 5
+#: A gzip member of nothing, as RFC 1952 has it.
+EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 
@@ -37,13 +44,15 @@ _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space
 def resolved(df: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """(page_id, url, html, digest, refers_to): refers_to is null for responses.
 
-    Only digest, length and id are shuffled for the groups' largest ids, combined before the shuffle; the join that
-    brings them back has one row a digest on the other side, so a hot digest is split by AQE.
+    Only digest, length and id are shuffled for the groups' largest ids, combined before the shuffle. Up to
+    BROADCAST_ROWS groups of equal payloads go to the pages, which then never move; more are joined by a shuffle with
+    one row a digest on their side, so a hot digest is split by AQE.
     """
     pages = df.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("html"))
     pages = pages.withColumn("digest", F.sha1("html")).withColumn("size", F.length("html").cast("long"))
     same = pages.where(F.col("size") >= least).groupBy("digest", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("largest")).where("n > 1 and largest is not null").select("digest", "size", "largest")
-    found = pages.join(same, ["digest", "size"], "left")
+    same = stored(same, "same-payloads")
+    found = pages.join(F.broadcast(same) if same.count() <= BROADCAST_ROWS else same, ["digest", "size"], "left")
     revisit = F.col("largest").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("largest")))
     return found.select("page_id", "url", "html", "digest", F.when(revisit, F.col("largest")).alias("refers_to"))
 
@@ -53,7 +62,7 @@ def record_id(page_id: int | None) -> str:
 
 
 def record(page_id: int | None, url: str, html: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
-    """A WARC/1.1 record without the two line ends that close it."""
+    """A WARC/1.1 record."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + html
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
@@ -65,7 +74,7 @@ def record(page_id: int | None, url: str, html: bytes, digest: str, refers_to: i
     if page_id is not None:
         lines.append(f"Page-ID: {page_id}")
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return ("\r\n".join(lines) + "\r\n\r\n").encode() + block
+    return ("\r\n".join(lines) + "\r\n\r\n").encode() + block + END
 
 
 def write_archives(pages: DataFrame, path: str, records: int) -> None:
@@ -73,16 +82,16 @@ def write_archives(pages: DataFrame, path: str, records: int) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [record(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            done = [gzip.compress(record(*row), LEVEL, mtime=0) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], ["value"])
 
     lines = map_batches(pages, run, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", END).option("maxRecordsPerFile", records).text(path)
+    lines.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", records).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers with lower-case names, block) of each record; an error where the file is not WARC or is cut off."""
-    at = 0
+    at, data = 0, gzip.GzipFile(fileobj=io.BytesIO(data)).read() if data[:2] == EMPTY_MEMBER[:2] else data
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
         if end < 0 or not data.startswith(b"WARC/1.", at):
