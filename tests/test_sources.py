@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import codecs, losses, rng, tensors, text
-from tidewater.sources import chunks, frames, sinks, synthetic
+from tidewater.sources import chunks, files, frames, sinks, synthetic
 
 
 def made(n, seed=0):
@@ -246,3 +246,20 @@ def test_sinks(spark, tmp_path):
     assert sinks.read_status(line, {"progress"}) == ("progress", {"step": 3})
     with pytest.raises(ValueError):
         sinks.read_status(line, {"other"})
+
+
+def test_checkpoints(spark, tmp_path):
+    path = str(tmp_path / "ck")
+    leaves = lambda v: spark.createDataFrame([("a.b", [1], [v])], "path string, shape array<int>, values array<double>")
+    for step, v in ((10, 1.0), (20, 2.0), (30, 3.0), (20, 2.5)):
+        files.write_checkpoint(leaves(v), step, path)
+    assert files.checkpoint_steps(spark, path) == [10, 20, 30] and files.checkpoint_steps(spark, path, 15, 25) == [20]
+    assert files.read_checkpoint(spark, path, 20).first()["values"] == [2.5] and files.read_checkpoint(spark, path).first()["values"] == [3.0]
+
+
+def test_chunks_are_shuffled_whole(spark):
+    rows = spark.createDataFrame([(c, i) for c in range(20) for i in range(3)], "c int, frame_idx int")
+    out = files.shuffled_chunks(rows, "s", 4, ["c"])
+    got = [(r["p"], r["c"], r["frame_idx"]) for r in out.select(F.spark_partition_id().alias("p"), "*").collect()]
+    assert sorted(x[1:] for x in got) == sorted((c, i) for c in range(20) for i in range(3))
+    assert all(got[k][2] == k % 3 and got[k][1] == got[k - k % 3][1] for k in range(len(got)))

@@ -15,6 +15,7 @@ from tidewater.functions import codecs, losses, rng, tensors, text
 from tidewater.functions.rng import sql_below, sql_uniform
 from tidewater.operators import exponential, joins, pool, rescoring, sampling, schedule, split, stats
 from tidewater.operators.ordering import numbered, prefixed
+from tidewater.sources import files
 from tidewater.streaming import queues
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -519,6 +520,23 @@ def q_number_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.format_string("%08d", "o_orderkey").alias("name"), text.number(F.concat(F.lit("0x"), F.hex("o_orderkey"))).alias("parsed"))
 
 
+@query("SELECT url AS path, 'training.' || (row_number() OVER (ORDER BY TRY_CAST(nullif(regexp_extract(regexp_extract(url, '([^/]*)/?$', 1), '(\\d+)(?:\\.[^.\\d]*)?$', 1), '') AS BIGINT) NULLS FIRST, url) + 99) || '.gz' AS new_name FROM (SELECT DISTINCT url FROM pages)")
+def q_training_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.training_names(table(spark, sf_dir, "pages").select(F.col("url").alias("path")).distinct(), 100)
+
+
+@query("SELECT DISTINCT l_orderkey AS path FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def q_new_file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are seen several times, less those that the initial scan listed."""
+    initial = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("path"))
+    return files.new_events(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path")), initial)
+
+
+@query("SELECT doc_id, n_chars > 0 AND n_chars % 4 = 0 AS whole FROM documents")
+def q_whole_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", files.whole_records(F.col("n_chars"), 4).alias("whole"))
+
+
 # L, M: losses and weights over embeddings' first elements.
 HEADS = """heads AS (SELECT vec_id, label, list_transform(list_slice(embedding, 1, 8), lambda x: (x * 10)::DOUBLE) AS logits,
     list_transform(list_slice(embedding, 9, 16), lambda x: CASE WHEN x::DOUBLE < -0.15 THEN -1.0::DOUBLE ELSE abs(x::DOUBLE) END) AS raw FROM embeddings),
