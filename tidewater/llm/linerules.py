@@ -2,8 +2,8 @@
 
 Lines are split at \\n; a line without a word is neutral and stays. A line fails by
 
-* punctuation: over half of its words carry symbol runs or doubled exclamation or question marks, or it has letters and
-  none of them is lower-case over five words or more, or symbols make up over a third of its word characters;
+* punctuation: over half of its words carry symbol runs or doubled exclamation or question marks, or it has capital
+  letters and no small one over five words or more, or symbols make up over a third of its word characters;
 * navigation: separator tokens (|, >, >>, », ·, •, /) are at least three and a fifth of its words, or every one of three
   words or more is a link or a bare address;
 * boilerplate: it has one of the fixed phrases of site notices, in any case.
@@ -23,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +53,7 @@ BOILERPLATE = (
 )
 _word = re.compile(r"[^\x20\x09-\x0D]+")
 _marked = re.compile(r"[#*$%&<>^~=_]{2,}|[!?]{2,}")
+_lower, _upper = regex.compile(r"\p{Ll}"), regex.compile(r"\p{Lu}")
 _boilerplate = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _link = re.compile(r"(?:https?://|www\.)\S+|\[[^\]]*\]\([^)]*\)")
 
@@ -74,14 +76,14 @@ def repeated_words(words: list[bytes] | list[str], window: int = WINDOW) -> int:
 
 def line_fails(line: str) -> str | None:
     """The rule that a line fails, or None."""
-    words = line.split()
+    words = _word.findall(line)
     if not words:
         return None
     n = len(words)
     marked = sum(1 for w in words if _marked.search(w)) if _marked.search(line) else 0
     if 2 * marked > n:
         return "punctuation"
-    if n >= 5 and line.upper() == line and line.lower() != line:
+    if n >= 5 and not _lower.search(line) and _upper.search(line):
         return "punctuation"
     symbols = sum(map(line.count, SYMBOLS))
     if symbols and 3 * symbols > sum(map(len, words)):

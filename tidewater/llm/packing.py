@@ -181,7 +181,7 @@ def pack(df: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
     """(sequence_id, ids array<int>) of pack(..., with_ids=True), the last one padded with pad_id: a window in a group."""
 
-    def build(key, table: pa.Table) -> pa.Table:
+    def build(key, table):
         out = np.full(window, pad_id, dtype=np.int32)
         for offset, ids in zip(table["offset"].to_pylist(), table["ids"].to_pylist(), strict=True):
             out[offset : offset + len(ids) // 4] = np.frombuffer(ids, dtype="<u4")

@@ -52,7 +52,28 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _all = (op1_quality_classifier, op2_simhash, op3_warc, op4_sharding, op5_quality_rules, op6_media, op7_mixing, op8_packing, op9_language, op10_suffix_tree)
 QUERIES = {f.__name__: f for f in _all}
+#: Line rules of op5 as conditions on a line's words ws, their number n and their characters c.
+_failed = f"""(2 * len(list_filter(ws, lambda w: regexp_matches(w, '[#*$%&<>^~=_]{{2,}}|[!?]{{2,}}'))) > n
+    OR (n >= 5 AND NOT regexp_matches(line, '\\p{{Ll}}') AND regexp_matches(line, '\\p{{Lu}}'))
+    OR 3 * len(regexp_extract_all(line, '[#*$%&|<>]')) > c
+    OR (len(list_filter(ws, lambda w: w IN ({', '.join(repr(x) for x in sorted(linerules.SEPARATORS))}))) >= greatest(3, n / 5))
+    OR (n >= 3 AND len(list_filter(ws, lambda w: regexp_full_match(w, '(https?://|www\\.)\\S+|\\[[^\\]]*\\]\\([^)]*\\)'))) = n)
+    OR regexp_matches(lower(line), '{'|'.join(linerules.BOILERPLATE)}'))"""
 ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 4), ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d WHERE len(words) >= 5)),
+        repeats AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+        covered AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM repeats, range(5) r(j) GROUP BY doc_id),
+        lines AS (SELECT doc_id, line, ws, len(ws) AS n, list_sum(list_transform(ws, lambda w: length(w))) AS c
+            FROM (SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)) WHERE len(ws) > 0),
+        judged AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (WHERE failed) AS n_removed_lines, coalesce(sum(c) FILTER (WHERE failed), 0) AS lost
+            FROM (SELECT doc_id, line, c, {_failed} AS failed FROM lines) GROUP BY doc_id),
+        base AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+            coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_removed_lines, 0) AS n_removed_lines, coalesce(lost, 0) AS lost
+            FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN judged USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+            NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost <= {linerules.LOST} * word_chars AS kept, n_removed_lines FROM base""",
     "op3_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS largest FROM pages)
         SELECT page_id, n AS payload_bytes, digest AS payload_digest,
