@@ -164,6 +164,7 @@ def test_values_and_results(spark):
     assert one(spark, tensors.plies_left(F.lit(0), F.lit(9)), tensors.plies_left(F.lit(3), F.lit(9))) == (9, 3)
     board = one(spark, tensors.ascii_board([F.lit(1 << i).cast("bigint") for i in range(12)]))
     assert board.split("\n")[7] == "PNBRQKpn" and board.split("\n")[6] == "brqk...."
+    assert one(spark, tensors.fen_placement([F.lit(1 << i).cast("bigint") for i in range(12)])) == "8/8/8/8/8/8/brqk4/PNBRQKpn"
     assert one(spark, tensors.mirrored(F.lit("e2e4"))) == "e7e5"
     frames_ = spark.createDataFrame([([([1, 2, 9],), ([5, -1, 0],)],)], "f array<struct<planes: array<bigint>>>")
     assert frames_.select(tensors.first_match(F.col("f"), "planes", [5, (1 << 64) - 1]), tensors.first_match(F.col("f"), "planes", [8])).first()[:] == (1, None)

@@ -124,6 +124,14 @@ def ascii_board(piece_planes: list[Column], letters: str = "PNBRQKpnbrqk") -> Co
     return F.concat_ws("\n", *[F.concat(*[square(8 * r + f) for f in range(8)]) for r in range(7, -1, -1)])
 
 
+def fen_placement(piece_planes: list[Column]) -> Column:
+    """The first field of a position's FEN text from twelve 64-bit planes."""
+    rows = F.replace(ascii_board(piece_planes), F.lit("\n"), F.lit("/"))
+    for n in range(8, 0, -1):
+        rows = F.replace(rows, F.lit("." * n), F.lit(str(n)))
+    return rows
+
+
 def mirrored(move: Column) -> Column:
     """A move's name from the other side."""
     return F.translate(move, "12345678", "87654321")

@@ -639,6 +639,63 @@ def q_prefix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", (F.col("before") == 0).alias("first"), "row_number")
 
 
+@query(f"""WITH {COORDINATES}, n AS (SELECT label, sqrt(sum(x * x)) AS norm FROM cells GROUP BY label) SELECT label, round(norm, 6) AS norm, round(CASE WHEN norm > 5 THEN 5 / norm ELSE 1 END, 6) AS scale FROM n""")
+def q_gradient_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    norms = cells(spark, sf_dir).groupBy("label").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return norms.select("label", rounded("norm").alias("norm"), rounded(stats.clip_scale(F.col("norm"), 5.0)).alias("scale"))
+
+
+@query("SELECT CASE WHEN doc_id % 100 >= 90 THEN 'test' ELSE 'train' END AS part, count(*) AS n, max(doc_id) AS latest FROM documents GROUP BY 1")
+def q_split_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", split.mod_split(F.col("doc_id")).alias("part"))
+    return docs.groupBy("part").agg(F.count("*").alias("n"), F.max("doc_id").alias("latest"))
+
+
+@query("SELECT source, sum(n_chars // 276)::BIGINT AS plies, count(*) FILTER (WHERE n_chars % 276 <> 0) AS broken FROM documents GROUP BY source")
+def q_pack_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plies by the sizes of games, and games whose size is no multiple of a record's."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.groupBy("source").agg(F.sum(F.expr("n_chars div 276")).alias("plies"), F.count_if(~files.whole_records(F.col("n_chars"), 276) & (F.col("n_chars") > 0)).alias("broken"))
+
+
+@query(f"SELECT epoch, doc_id, row_number() OVER (ORDER BY epoch, {sql_uniform(repr(SEED), 'epoch', 'doc_id')}, doc_id) AS position FROM documents, range(3) t(epoch)")
+def q_epoch_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three epochs one after another, each in an order of its own."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return pool.epochs(docs, 3, SEED, "doc_id").select(F.col("epoch").cast("bigint").alias("epoch"), "doc_id", "position")
+
+
+@query("SELECT doc_id, [quality, toxic, CASE WHEN quality = 0 AND toxic = 0 THEN 1 ELSE 0 END][CASE WHEN quality = 1 THEN 1 WHEN toxic = 1 THEN 2 ELSE 3 END] AS one, CASE WHEN quality = 1 THEN 1 WHEN toxic = 1 THEN 2 ELSE 3 END AS place FROM labels")
+def q_legacy_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of 1, 0 and -1 as one of three places."""
+    result = F.when(F.col("quality") == 1, 1).when(F.col("toxic") == 1, 0).otherwise(-1)
+    rows = table(spark, sf_dir, "labels").select("doc_id", tensors.wdl_of_result(result).alias("w"))
+    return rows.select("doc_id", F.array_max("w").cast("int").alias("one"), F.array_position("w", F.array_max("w")).cast("int").alias("place"))
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS p0, round(embedding[21]::DOUBLE, 6) AS p20, round(embedding[64]::DOUBLE, 6) AS p63 FROM embeddings WHERE label = 3")
+def q_start_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen elements of the vectors that a predicate keeps; indices count from 0."""
+    rows = table(spark, sf_dir, "embeddings").where("label = 3").select("vec_id", tensors.probes(F.col("embedding"), [0, 20, 63]).alias("p"))
+    return rows.select("vec_id", *[F.round(F.get("p", F.lit(i)).cast("double"), 6).alias(n) for i, n in enumerate(("p0", "p20", "p63"))])
+
+
+@query("""WITH e AS (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+    SELECT event_id, round(CASE WHEN before IS NULL THEN value ELSE 0.99 * value + 0.01 * before END, 6) AS smoothed FROM e""")
+def q_smoothed_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An average of a value and the one before that favours the new one."""
+    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
+    out = F.when(before.isNull(), F.col("value")).otherwise(F.lit(0.99) * F.col("value") + F.lit(0.01) * before)
+    return table(spark, sf_dir, "events").select("event_id", rounded(out).alias("smoothed"))
+
+
+@query(f"WITH {FRAMES} SELECT chunk, round(avg(abs(best_q - coalesce(nullif(orig_q, 'NaN'::DOUBLE), 0))), 6) AS error, round(avg(0.75 * best_q + 0.25 * d), 6) + 0 AS mixed FROM frames GROUP BY chunk")
+def q_error_and_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean absolute error, and a mix of two targets."""
+    error = F.abs(F.col("best_q") - F.when(F.isnan("orig_q"), 0.0).otherwise(F.col("orig_q")))
+    return frames(spark, sf_dir).groupBy("chunk").agg(rounded(F.avg(error)).alias("error"), (rounded(F.avg(losses.q_mix(F.col("best_q"), F.col("d"), 0.25))) + 0).alias("mixed"))
+
+
 # The flagship pipeline, end to end: window, weights, acceptance, unpacking and batches.
 @query(f"""WITH {WEIGHTS}, c AS (SELECT chunk, sum(weight) AS weight FROM weighted GROUP BY chunk), m AS (SELECT max(weight) AS most FROM c),
     kept AS (SELECT chunk FROM c, m WHERE {sql_uniform(repr(SEED), 'chunk')} < pow(weight / most, 1.0)),
