@@ -32,9 +32,9 @@ def bounds(total: Column, pool_size: int) -> Column:
 
 def range_lookup(indices: DataFrame, sources: DataFrame, index: str = "global_index", start: str = "start_chunk_index", count: str = "chunk_count", bucket: int = 64) -> DataFrame:
     """Each index with the source whose range holds it: an equi-join on buckets of the index, then the exact bounds."""
-    first, last = F.floor(F.col(start) / bucket), F.floor((F.col(start) + F.col(count) - F.lit(1)) / bucket)
+    first, last = F.expr(f"{start} div {bucket}"), F.expr(f"({start} + {count} - 1) div {bucket}")
     spread = sources.where(F.col(count) > 0).withColumn("_bucket", F.explode(F.sequence(first, last)))
-    keyed = indices.withColumn("_bucket", F.floor(F.col(index) / bucket))
+    keyed = indices.withColumn("_bucket", F.expr(f"{index} div {bucket}"))
     inside = (F.col(index) >= F.col(start)) & (F.col(index) < F.col(start) + F.col(count))
     return keyed.join(spread, "_bucket").where(inside).drop("_bucket").withColumn("index_within_sort_key", F.col(index) - F.col(start))
 
