@@ -1,14 +1,14 @@
-"""What the training-data operators share: tables, the shared folder, Arrow batches and connected components."""
+"""What the training-data operators share: tables, Arrow batches and connected components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.storage import new_path, stored
+
+__all__ = ["bound_batches", "components", "id_remainder", "map_batches", "new_path", "stored", "table"]
+
 #: Rows of an Arrow batch and bytes it may take, so that very long texts don't meet in one batch.
 BATCH_BYTES = 4 << 20
 
@@ -17,28 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or f"file://{tempfile.gettempdir()}/tidewater-shared-{os.getuid()}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's file system closes."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df as a table written in the shared folder: it cuts the lineage, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Bounds the bytes of the Arrow batches that go to Python, unless the session has a bound."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

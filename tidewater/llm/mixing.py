@@ -22,10 +22,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.functions import rng
 from tidewater.llm.common import map_batches, stored
 
 TOPICS = 6
@@ -151,12 +152,6 @@ def fitted(cells: DataFrame, temperature: float = TEMPERATURE, keep: float = KEE
     return spark.createDataFrame(out.to_pylist(), T.StructType([cells.schema[d] for d in DIMENSIONS] + [T.StructField("rate", T.DoubleType()), T.StructField("probability", T.DoubleType())]))
 
 
-def uniform(*keys: Column) -> Column:
-    """A number in [0, 1) from the first 13 hex digits of an md5 of the keys."""
-    text = F.concat_ws("#", F.lit(SEED), *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
-
-
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Callable[[str], int] | None = None, with_row: bool = False) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, rate, probability, kept) of every row; with_row adds the row as a struct."""
     rows = measured(df, text_col, topic)
@@ -167,7 +162,7 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic:
     side = cells.select(*[F.col(d).alias(f"c_{d}") for d in DIMENSIONS], "rate", "probability")
     met = F.expr(" and ".join(f"{d} <=> c_{d}" for d in DIMENSIONS))
     found = slim.join(F.broadcast(side) if count <= MAX_CELLS else side, met)
-    return found.select("doc_id", *DIMENSIONS, "tokens", "rate", "probability", (uniform(F.col("doc_id"), F.col("tokens")) < F.col("probability")).alias("kept"), *more)
+    return found.select("doc_id", *DIMENSIONS, "tokens", "rate", "probability", (rng.uniform(SEED, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("tokens")) < F.col("probability")).alias("kept"), *more)
 
 
 def sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Callable[[str], int] | None = None) -> DataFrame:

@@ -91,14 +91,11 @@ def ranked(df: DataFrame, order: list[str]) -> DataFrame:
     spark = df.sparkSession
     ranges = df.repartitionByRange(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), *order)
     placed = stored(ranges.withColumn("range", F.spark_partition_id()), "ranges")
-    counts = sorted((r["range"], r["n"]) for r in placed.groupBy("range").agg(F.count("*").alias("n")).collect())  # a row a range
-    bases, total = [], 0
-    for k, n in counts:
-        bases.append((k, total))
-        total += n
+    counts = placed.groupBy("range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over a row a range
+    bases = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
     numbered = placed.withColumn("rank", F.row_number().over(Window.partitionBy("range").orderBy(*order)) - F.lit(1))
-    shifted = numbered.join(F.broadcast(spark.createDataFrame(bases, "range int, base bigint")), "range")
-    return shifted.withColumn("rank", F.col("rank") + F.col("base")).withColumn("total", F.lit(total).cast("long")).drop("range", "base")
+    return numbered.join(F.broadcast(bases), "range").withColumn("rank", F.col("rank") + F.col("base")).drop("range", "base")
 
 
 def hilbert_shards(df: DataFrame, dimensions: list[Dimension], shards: int = SHARDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
