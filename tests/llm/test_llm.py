@@ -222,13 +222,13 @@ def test_near_duplicates_of_similarity(spark, rows):
     assert kept == {min(x) for x in groups.values()}
 
 
-def test_clusters_over_the_block_are_estimated(spark, rows):
+def test_large_clusters_are_estimated(spark, rows):
     g = np.random.default_rng(3)
     base = next(r for r in rows if len(r["text"].split()) > 200)
     many = [{**base, "doc_id": 20_000 + k, "text": edited(g, base["text"].split(), 2)} for k in range(90)]
     df = spark.createDataFrame([tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) for r in rows + many], SCHEMA)
     whole = {r["doc_id"] for r in similar.deduplicated(df).collect()}
-    assert {r["doc_id"] for r in similar.deduplicated(df, block=30).collect()} == whole and not {r["doc_id"] for r in many} & whole
+    assert {r["doc_id"] for r in similar.deduplicated(df, cluster_nodes=30).collect()} == whole and not {r["doc_id"] for r in many} & whole
 
 
 def test_near_duplicate_edges(odd, none):
@@ -237,6 +237,12 @@ def test_near_duplicate_edges(odd, none):
     assert similar.deduplicated(none).count() == 0
 
 
+def test_likeness():
+    for a, b in (([1, 2, 2, 3], [2, 3, 4]), ([], []), ([1], []), ([5], [5]), ([9], [1, 2])):
+        x, y = set(a), set(b)
+        assert similar.likeness(np.asarray(a, np.uint64), np.asarray(b, np.uint64)) == (len(x & y) / len(x | y) if x | y else 1.0)
+
+
 # 3: WARC.
 def test_archives_round_trip(spark, tmp_path):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
