@@ -6,7 +6,7 @@ is all that the model holds (languages are a closed code set). A word's score fo
 likelihood of its grams times the root of their number; languages that hardly use the word's script are not
 candidates. The best path over the words pays PENALTY for each change of language.
 
-A path that never changes is best whenever no run of words gains another language more than the penalty over it; that
+A path that never changes is best whenever no run of words gains other languages more than the penalty over it; that
 test is a few running sums, so only texts that fail it go through the step-by-step search.
 
 Only text and language of learning documents are used; prediction reads nothing but the text. Nulls and edges: a null
@@ -177,16 +177,18 @@ def viterbi(s: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
 
 
 def labelled(s: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """viterbi(s), by running sums where one language throughout is surely best."""
-    total = s.sum(0)
-    top = int(total.argmax())
+    """viterbi(s), by running sums where one language throughout is surely best.
+
+    Each run of another language pays a change, which no run's gain over the best language exceeds; only a path without
+    the best language has a change less than runs, so its first and last run must not gain more than one together.
+    """
+    top = int(s.sum(0).argmax())
     ahead = np.cumsum(s - s[:, top : top + 1], axis=0)
-    low = np.minimum.accumulate(np.vstack([np.zeros((1, s.shape[1])), ahead[:-1]]), axis=0)
-    rivals = np.flatnonzero((ahead - low).max(0) > penalty)
-    if not len(rivals):
+    before = np.vstack([np.zeros((1, s.shape[1])), ahead[:-1]])
+    run = (ahead - np.minimum.accumulate(before, axis=0)).max()
+    if run <= penalty and ahead.max() + (ahead[-1] - before).max() <= penalty:
         return np.full(len(s), top, np.int32)
-    few = np.unique(np.append(rivals, top))
-    return few[viterbi(s[:, few], penalty)].astype(np.int32)
+    return viterbi(s, penalty)
 
 
 def spans_of(path: np.ndarray) -> list[tuple[int, int, int]]:
