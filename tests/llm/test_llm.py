@@ -85,6 +85,14 @@ def test_classifier_agrees_with_labels_it_never_saw(spark):
     assert len(found) == 1000 and np.mean(good) > 0.98 and np.mean(bad) < 0.15
 
 
+def test_capitals_and_shapes_are_judged_whole():
+    late = ["word"] * 60 + ["SHOUT"] * 90
+    f = weaklabels.facts(" ".join(late))[0]
+    assert f.upper == 90 / 150 and weaklabels.LABELLERS["capitals"](f) == weaklabels.BAD
+    assert weaklabels.facts(" ".join(["word"] * 60 + ["SHOUT"] * 3))[0].upper == 3 / 63
+    assert weaklabels.shape("a" * 30 + "7") == "aa0"
+
+
 def test_classifier_edges(odd, none, docs):
     model = weaklabels.learn(docs)
     got = weaklabels.classify(odd, model).collect()

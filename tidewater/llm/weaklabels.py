@@ -70,7 +70,7 @@ def facts(text: str | None) -> tuple[Facts, list[str]]:
     low = text.lower()
     stop = sum(1 for w in low.split() if w in STOPWORDS)
     marked = sum(1 for w in words if w[-1] in _marks and len(w) > 1) if any(c in text for c in _marks) else 0
-    upper = sum(map(str.isupper, words)) if text.upper() == text or sum(map(str.isupper, words[:50])) else 0
+    upper = sum(map(str.isupper, words))
     separators = sum(map(words.count, "|>/•·»")) if any(c in text for c in "|>/•·»") else 0
     shouted = sum(1 for w in words if w.endswith(("!!", "??"))) if "!!" in text or "??" in text else 0
     lines = [x for x in map(str.rstrip, text.split("\n")) if x]
@@ -150,7 +150,7 @@ def slot(feature: str) -> int:
 def shape(word: str) -> str:
     """Letters as a or A, digits as 0, other signs as they are, runs of up to two."""
     out = []
-    for c in word[:24]:
+    for c in word:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if out[-2:] != [k, k]:
             out.append(k)
