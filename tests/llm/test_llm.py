@@ -239,6 +239,19 @@ def test_large_clusters_are_estimated(spark, rows):
     assert {r["doc_id"] for r in similar.deduplicated(df, cluster_nodes=30).collect()} == whole and not {r["doc_id"] for r in many} & whole
 
 
+def test_repeated_phrases_do_not_hide_near_copies(spark):
+    g = np.random.default_rng(5)
+    rows = []
+    for i in range(40):  # a text with a phrase many times, and its near copy with the phrase once
+        body, phrase = [[f"w{x}" for x in g.integers(0, 1 << 30, n)] for n in (600, 5)]
+        rows += [(2 * i, " ".join(body + phrase * 39)), (2 * i + 1, " ".join(edited(g, body, 6).split() + phrase))]
+    pairs = [(similar.hashes(a, 5), similar.hashes(b, 5)) for (_, a), (_, b) in zip(rows[::2], rows[1::2])]
+    assert all(similar.likeness(a, b) >= 0.85 for a, b in pairs)
+    assert sum((simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > similar.WIDE for a, b in pairs) > 10
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in similar.deduplicated(df).collect()) == list(range(0, 80, 2))
+
+
 def test_near_duplicate_edges(odd, none):
     kept = similar.deduplicated(odd)
     assert kept.columns == odd.columns and sorted((r["doc_id"] for r in kept.collect())) == [1, 5, 6, 7, 8]
