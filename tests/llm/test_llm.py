@@ -239,6 +239,27 @@ def test_large_clusters_are_estimated(spark, rows):
     assert {r["doc_id"] for r in similar.deduplicated(df, cluster_nodes=30).collect()} == whole and not {r["doc_id"] for r in many} & whole
 
 
+def test_large_clusters_are_checked_on_their_shingles(spark):
+    g = np.random.default_rng(8)
+    body = [f"w{x}" for x in g.integers(0, 1 << 30, 400)]
+    rows = [(k, edited(g, body, 4 + k % 2)) for k in range(70)]  # similarities a little under and over 0.8
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = similar.featured(df, "text", "doc_id").cache()
+    heads = found.select("key", "id")
+    sets = {r["key"]: np.unique(similar.hashes(r["row"]["text"], 5)) for r in found.collect()}
+    links = {k: similar.alike_pairs(found, heads, "text", n, block=20).collect() for k, n in (("one task", 5000), ("blocks", 10))}
+    apart = [frozenset((r["a"], r["b"])) for r in links["blocks"] if similar.likeness_of_sets(sets[r["a"]], sets[r["b"]]) < similar.LIKENESS]
+    assert links["blocks"] and not apart
+    classes = {}
+    for k, edges in links.items():
+        label = {x: x for x in sets}
+        for _ in sets:
+            for r in edges:
+                label[r["a"]] = label[r["b"]] = min(label[r["a"]], label[r["b"]])
+        classes[k] = label
+    assert classes["one task"] == classes["blocks"]
+
+
 def test_repeated_phrases_do_not_hide_near_copies(spark):
     g = np.random.default_rng(5)
     rows = []
