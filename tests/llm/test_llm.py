@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import inspect
 import math
 import struct
 import zlib
@@ -546,6 +547,13 @@ def test_raking_on_a_table_is_the_same(spark):
     assert set(a) == set(b) and all(a[k] == pytest.approx(b[k], rel=1e-6) for k in a)
 
 
+def test_a_table_is_fitted_as_far_as_cells_on_the_driver(spark):
+    assert inspect.signature(mixing.raked_table).parameters["rounds"].default == inspect.signature(mixing.raked).parameters["rounds"].default
+    df = spark.createDataFrame([("a", "x", 0, 10**9), ("b", "x", 0, 1)], "source string, lang string, topic int, tokens bigint")
+    a, b = ({r["source"]: (r["rate"], r["probability"]) for r in mixing.fitted(df, -1.0, max_cells=m).collect()} for m in (mixing.MAX_CELLS, 1))  # inverse shares need a multiplier over 2**20
+    assert set(a) == set(b) and all(a[k] == pytest.approx(b[k], rel=1e-7) for k in a)
+
+
 def test_mixing_edges(odd, none):
     got = mixing.mixed(odd).collect()
     assert len(got) == len(ODD) and all(0 <= r["probability"] <= 1 for r in got)

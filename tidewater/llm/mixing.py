@@ -92,39 +92,47 @@ def raked(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray],
     return w
 
 
-def raked_table(cells: DataFrame, temperature: float = TEMPERATURE, rounds: int = 50) -> DataFrame:
-    """raked() on a table of (source, lang, topic, tokens): adds weight. Each round joins one row a value to the cells."""
-    goals = {}
+def raked_table(cells: DataFrame, temperature: float = TEMPERATURE, rounds: int = ROUNDS) -> DataFrame:
+    """raked() on a table of (source, lang, topic, tokens): adds weight. A round joins one row a value to the cells and writes no more than those rows."""
+    goals, factors = {}, {}
     for d in DIMENSIONS:
         totals = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("t"))
         powered = F.when(F.col("t") > 0, F.pow("t", F.lit(temperature))).otherwise(0.0)
         sums = totals.agg(F.sum("t").alias("all"), F.sum(powered).alias("powers"))
         goals[d] = stored(totals.crossJoin(F.broadcast(sums)).select(F.col(d).alias("value"), (powered / F.col("powers") * F.col("all")).alias("goal")), "goals")  # sums is one row
-    now = cells.withColumn("weight", F.col("tokens").cast("double"))
+        factors[d] = goals[d].select("value", F.lit(1.0).alias("factor"))
+
+    def weighted() -> DataFrame:
+        now = cells.withColumn("weight", F.col("tokens").cast("double"))
+        for d in DIMENSIONS:
+            now = now.join(factors[d].select("value", "factor"), F.col(d).eqNullSafe(F.col("value"))).withColumn("weight", F.col("weight") * F.col("factor")).drop("value", "factor")
+        return now
+
     for _ in range(rounds):
         worst = 0.0
         for d in DIMENSIONS:
-            sums = now.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("now"))
-            scale = sums.join(goals[d].withColumnRenamed("value", "v"), F.expr("value <=> v")).select("value", F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(1.0).alias("scale"))
-            scale = stored(scale, "scale")
-            worst = max(worst, scale.agg(F.max(F.abs(F.col("scale") - 1))).first()[0] or 0.0)
-            now = stored(now.join(scale, F.col(d).eqNullSafe(F.col("value"))).withColumn("weight", F.col("weight") * F.col("scale")).drop("value", "scale"), "weights")
+            sums = weighted().groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("now"))
+            known = goals[d].join(factors[d].select(F.col("value").alias("u"), "factor"), F.expr("value <=> u")).select(F.col("value").alias("v"), "goal", "factor")
+            scale = F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(1.0)
+            factors[d] = stored(sums.join(known, F.expr("value <=> v")).select("value", scale.alias("scale"), (F.col("factor") * scale).alias("factor")), "factors")
+            worst = max(worst, factors[d].agg(F.max(F.abs(F.col("scale") - 1))).first()[0] or 0.0)
         if worst < TOLERANCE:
             break
-    return now
+    return weighted()
 
 
-def multiplier(tokens: np.ndarray, rates: np.ndarray, keep: float = KEEP) -> float:
-    """The c at which the expected tokens, sum of tokens * min(1, c * rate), are keep of all."""
-    goal = keep * tokens.sum()
+def multiplier(expected: Callable[[float], float], goal: float) -> float:
+    """The c at which the expected tokens, sum of tokens * min(1, c * rate), are the goal."""
     low, high = 0.0, 1.0
     if not goal:
         return 1.0
-    while (tokens * np.minimum(1, high * rates)).sum() < goal and high < 1e12:
+    while expected(high) < goal and high < 1e12:
         high *= 2
     for _ in range(200):
         mid = (low + high) / 2
-        low, high = (mid, high) if (tokens * np.minimum(1, mid * rates)).sum() < goal else (low, mid)
+        if mid in (low, high):  # no number is between them
+            break
+        low, high = (mid, high) if expected(mid) < goal else (low, mid)
     return high
 
 
@@ -135,19 +143,16 @@ def fitted(cells: DataFrame, temperature: float = TEMPERATURE, keep: float = KEE
     if cells.count() > max_cells:
         rates = stored(raked_table(cells, temperature).withColumn("rate", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)), "rates")
         total = rates.agg(F.sum("tokens")).first()[0] or 0
-        low, high = 0.0, float(2**20)
-        for _ in range(60):  # halving, one pass over the cells each
-            mid = (low + high) / 2
-            got = rates.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(mid) * F.col("rate")))).first()[0]
-            low, high = (mid, high) if got < keep * total else (low, mid)
-        return rates.select(*DIMENSIONS, "rate", F.least(F.lit(1.0), F.lit(high) * F.col("rate")).alias("probability"))
+        # one pass over the cells a step
+        c = multiplier(lambda c: rates.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(c) * F.col("rate")))).first()[0], keep * total)
+        return rates.select(*DIMENSIONS, "rate", F.least(F.lit(1.0), F.lit(c) * F.col("rate")).alias("probability"))
     table = cells.toArrow().sort_by([(d, "ascending") for d in DIMENSIONS])
     tokens = table["tokens"].to_numpy().astype(np.float64)
     codes = [np.unique([repr(x) for x in table[d].to_pylist()], return_inverse=True)[1] if len(table) else np.zeros(0, np.int64) for d in DIMENSIONS]
     goals = [targets(np.bincount(c, tokens), temperature) if len(c) else np.zeros(0) for c in codes]
     weight = raked(tokens, codes, goals)
     rate = np.divide(weight, tokens, out=np.ones_like(weight), where=tokens > 0)
-    p = np.minimum(1.0, multiplier(tokens, rate, keep) * rate)
+    p = np.minimum(1.0, multiplier(lambda c: (tokens * np.minimum(1, c * rate)).sum(), keep * tokens.sum()) * rate)
     out = table.select(list(DIMENSIONS)).append_column("rate", pa.array(rate)).append_column("probability", pa.array(p))
     return spark.createDataFrame(out.to_pylist(), T.StructType([cells.schema[d] for d in DIMENSIONS] + [T.StructField("rate", T.DoubleType()), T.StructField("probability", T.DoubleType())]))
 
