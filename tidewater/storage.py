@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tidewater-shared-{os.getuid()}"
+    """spark.checkpoint.dir; where it is unset a folder of our own, which only a single machine may use."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found or f"file://{tempfile.gettempdir()}/tidewater-shared-{os.getuid()}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
