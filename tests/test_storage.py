@@ -14,5 +14,7 @@ def session(master, **conf):
 def test_a_cluster_must_name_its_shared_folder():
     with pytest.raises(RuntimeError):
         storage.shared_dir(session("spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(session("local-cluster[2,1,1024]"))
     assert storage.shared_dir(session("spark://host:7077", spark_checkpoint_dir="hdfs:///c")) == "hdfs:///c"
     assert storage.shared_dir(session("local[4]")).startswith("file:///")
