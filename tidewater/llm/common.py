@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tidewater.storage import new_path, stored
 
-__all__ = ["bound_batches", "components", "id_remainder", "map_batches", "new_path", "stored", "table"]
+__all__ = ["bound_batches", "components", "hot_join", "id_remainder", "map_batches", "new_path", "placed", "stored", "table"]
 
 #: Rows of an Arrow batch and bytes it may take, so that very long texts don't meet in one batch.
 BATCH_BYTES = 4 << 20
+#: A key with one of so many rows is hot: at most so many keys are, and their few rows are broadcast.
+HOT_SHARE = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +37,22 @@ def id_remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """df with its columns called c0, c1, ... by place, so that their names may be equal or hold any sign."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def hot_join(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with side, which has one row a key and n, how many of the total rows have it (or more).
+
+    Keys of over total / HOT_SHARE rows, at most HOT_SHARE of them, are broadcast, so their rows stay where they are; the
+    others meet in a shuffle. n is dropped.
+    """
+    least = max(1, total // HOT_SHARE)
+    hot, cold = F.broadcast(side.where(F.col("n") > least).drop("n")), side.where(F.col("n") <= least).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node reachable over edges (a, b), itself included.
 
@@ -45,18 +63,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     now = edges.where("a is not null and b is not null and a <> b")
     now = stored(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
+    seen, total = None, now.count()
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")).select("k", F.least("k", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = hot_join(both.where("b > a"), least, "a", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        low = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
-        small = large.join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        after = stored(small.union(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        after = stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
-        now, seen = after, mark
+        now, seen, total = after, mark, mark[0]
     found = now.groupBy("a").agg(F.min("b").alias("component"))
     return nodes.join(found, nodes["node"] == found["a"], "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import components, map_batches, stored
+from tidewater.llm.common import components, hot_join, map_batches, stored
 
 BITS, SEED = 64, 42
 SHINGLE, RADIUS = 4, 4
@@ -211,14 +211,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
 def grouped(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) of (doc_id, fp) rows."""
     prints = stored(prints, "fingerprints")
-    groups = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
+    groups = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "groups")
     edges = stored(links(groups.select("fp"), radius), "links")
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     classes = stored(components(nodes, edges), "classes")  # only fingerprints with a link
     named = groups.join(classes, groups["fp"] == classes["node"]).groupBy("component").agg(F.min("least").alias("named"))
     members = classes.join(named, "component").select(F.col("node").alias("fp"), "named")
-    ids = groups.join(members, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = stored(groups.join(members, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id"), "n"), "ids")
+    return hot_join(prints, ids, "fp", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(df: DataFrame, size: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
