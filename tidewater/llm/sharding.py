@@ -1,16 +1,16 @@
 """Sharding along a Hilbert curve, in DataFrame functions alone.
 
-Each metadata dimension is quantised to 2**bits cells at its own quantiles, the cells' coordinates become an index on
-the Hilbert curve, the rows are sorted by it and cut into runs of equal row counts. Neighbours on the curve are
+Each metadata dimension is quantised to 2**bits cells at its own quantiles: numbers at approximate ones, other values,
+whole, at those of their distinct values' counts. The cells' coordinates become an index on the Hilbert curve, the rows are sorted by it and cut into runs of equal row counts. Neighbours on the curve are
 neighbours in every dimension, so a file's minima and maxima prune on each of them.
 
 The sort is a range partitioning over (index, text checksum, id), so equal texts and a hot source spread over many
 tasks. The ranges are written once; each task numbers its own rows, and the tasks' counts (one row each) give the
 global ranks.
 
-Nulls and edges: a null in a dimension counts as the least value; a null text has size 1, checksum 0; a null id sorts
+Nulls and edges: a null in a dimension is in the first cell; a null text has size 1, checksum 0; a null id sorts
 first; fully equal rows take neighbouring slots in any order; an empty table gives no rows; columns besides those
-named are not read. Strings are quantised by their first seven bytes, in byte order.
+named are not read. Strings order by their bytes.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.llm.common import stored
+from tidewater.operators.ordering import prefixed
 
 BITS = 5
 SHARDS = 16
@@ -36,24 +37,29 @@ class Dimension:
     name: str
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """Numbers as doubles; other values by the first seven bytes of their text, which keeps their order; null least."""
-    col = F.col(name)
-    if isinstance(df.schema[name].dataType, T.NumericType):
-        return F.coalesce(col.cast("double"), F.lit(float("-inf")))
-    seven = F.rpad(F.hex(F.substring(F.encode(col.cast("string"), "utf-8"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(seven, 16, 10).cast("double"), F.lit(-1.0))
+def is_number(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.NumericType)
 
 
-def boundaries(df: DataFrame, names: list[str], bits: int) -> dict[str, list[float]]:
-    """Up to 2**bits - 1 increasing cut points of each dimension, at its quantiles."""
+def number_cuts(df: DataFrame, names: list[str], bits: int) -> dict[str, list[float]]:
+    """Up to 2**bits - 1 increasing cut points of each column of doubles, at its quantiles."""
     at = [i / (1 << bits) for i in range(1, 1 << bits)]
-    row = df.agg(*[F.percentile_approx(n, at, ACCURACY).alias(n) for n in names]).first()
+    row = df.agg(*[F.percentile_approx(n, at, ACCURACY).alias(n) for n in names]).first() if names else {}
     return {n: sorted(set(row[n] or [])) for n in names}
 
 
-def quantised(value: Column, cuts: list[float]) -> Column:
-    """How many cuts are at or below value, by halving: a depth of log2 comparisons."""
+def text_cuts(df: DataFrame, name: str, bits: int) -> list[str]:
+    """Up to 2**bits - 1 increasing cut points of a column of strings: the values at its exact quantiles."""
+    values = stored(df.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("rows")), "values")
+    total = values.agg(F.sum("rows")).first()[0] or 0
+    before = prefixed(values, [F.col(name)], {"before": F.col("rows")})
+    reached = lambda n: F.expr(f"(({n}) * {1 << bits} + {total - 1}) div {max(total, 1)}")
+    cuts = before.where((F.col("before") > 0) & (reached("before") < reached("before + rows")))
+    return sorted((r[name] for r in cuts.select(name).collect()), key=str.encode)  # a row a cell at most
+
+
+def quantised(value: Column, cuts: list) -> Column:
+    """How many cuts are at or below value, none for null, by halving: a depth of log2 comparisons."""
 
     def between(low: int, high: int) -> Column:
         if low == high:
@@ -102,11 +108,13 @@ def hilbert_shards(df: DataFrame, dimensions: list[Dimension], shards: int = SHA
     """(doc_id, size, text_crc32, curve, law, shard, slot, grown_shard): law ``rows``, so the shards' counts are at most one apart."""
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
     names = [f"d{i}" for i in range(len(dimensions))]
-    slim = df.select(*[as_number(df, d.name).alias(n) for d, n in zip(dimensions, names, strict=True)], F.col(id_col).alias("doc_id"), (F.length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    cuts = boundaries(slim.select(*names), names, bits)
+    values = [F.col(d.name).cast("double" if is_number(df, d.name) else "string").alias(n) for d, n in zip(dimensions, names, strict=True)]
+    slim = df.select(*values, F.col(id_col).alias("doc_id"), (F.length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    numbers = [n for d, n in zip(dimensions, names, strict=True) if is_number(df, d.name)]
+    cuts = number_cuts(slim.select(*names), numbers, bits) | {n: text_cuts(slim.select(n), n, bits) for n in names if n not in numbers}
     cells = slim.select("doc_id", "size", "text_crc32", *[quantised(F.col(n), cuts[n]).alias(n) for n in names])
     curve = cells.select("doc_id", "size", "text_crc32", hilbert_index([F.col(n) for n in names], bits).alias("curve"))
-    at = ranked(curve, ["curve", "text_crc32", "doc_id", "size"])
+    at = ranked(stored(curve, "curve"), ["curve", "text_crc32", "doc_id", "size"])  # texts are read once
     shard = F.expr(f"(rank * {shards}) div total")
     first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
     return at.withColumn("shard", shard.cast("int")).select("doc_id", "size", "text_crc32", "curve", F.lit("rows").alias("law"), "shard", (F.col("rank") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
