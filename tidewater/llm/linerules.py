@@ -34,7 +34,7 @@ WINDOW = 5
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = frozenset("| > >> » · • /".split())
-#: Fixed phrases of site notices.
+#: Fixed phrases of site notices in English, German, French and Spanish, in small letters.
 BOILERPLATE = (
     "accept all cookies",
     "all rights reserved",
@@ -50,11 +50,36 @@ BOILERPLATE = (
     "terms of use",
     "this site uses cookies",
     "we use cookies",
+    "alle cookies akzeptieren",
+    "alle rechte vorbehalten",
+    "allgemeine geschäftsbedingungen",
+    "datenschutzerklärung",
+    "diese website verwendet cookies",
+    "newsletter abonnieren",
+    "wir verwenden cookies",
+    "zum hauptinhalt springen",
+    "abonnez-vous à notre newsletter",
+    "accepter tous les cookies",
+    "aller au contenu principal",
+    "ce site utilise des cookies",
+    "conditions générales d'utilisation",
+    "mentions légales",
+    "nous utilisons des cookies",
+    "politique de confidentialité",
+    "tous droits réservés",
+    "aceptar todas las cookies",
+    "aviso legal",
+    "este sitio utiliza cookies",
+    "ir al contenido principal",
+    "política de privacidad",
+    "suscríbase a nuestro boletín",
+    "todos los derechos reservados",
+    "términos y condiciones",
+    "utilizamos cookies",
 )
 _word = re.compile(r"[^\x20\x09-\x0D]+")
 _marked = re.compile(r"[#*$%&<>^~=_]{2,}|[!?]{2,}")
 _lower, _upper = regex.compile(r"\p{Ll}"), regex.compile(r"\p{Lu}")
-_boilerplate = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _link = re.compile(r"(?:https?://|www\.)\S+|\[[^\]]*\]\([^)]*\)")
 
 
@@ -74,8 +99,13 @@ def repeated_words(words: list[bytes] | list[str], window: int = WINDOW) -> int:
     return covered
 
 
-def line_fails(line: str) -> str | None:
-    """The rule that a line fails, or None."""
+def has_notice(text: str) -> bool:
+    low = text.lower()
+    return any(phrase in low for phrase in BOILERPLATE)
+
+
+def line_fails(line: str, notices: bool = True) -> str | None:
+    """The rule that a line fails, or None; notices: whether the line may have a phrase of BOILERPLATE."""
     words = _word.findall(line)
     if not words:
         return None
@@ -93,7 +123,7 @@ def line_fails(line: str) -> str | None:
         return "navigation"
     if n >= 3 and all(map(_link.fullmatch, words)):
         return "navigation"
-    return "boilerplate" if _boilerplate.search(line.lower()) else None
+    return "boilerplate" if notices and has_notice(line) else None
 
 
 def judged(text: str | None) -> tuple[int, int, int, int, int, bool, bool, int, str]:
@@ -101,14 +131,14 @@ def judged(text: str | None) -> tuple[int, int, int, int, int, bool, bool, int,
     text = text or ""
     words = text.encode("utf-8", "surrogatepass").split()
     n_words, word_chars = len(words), len(text) - sum(map(text.count, SPACE))
-    n_symbols = sum(map(text.count, SYMBOLS))
+    n_symbols, notices = sum(map(text.count, SYMBOLS)), has_notice(text)
     lines, seen, doubled, left, lost, removed = text.split("\n"), set(), 0, [], 0, 0
     for line in lines:
         worded = bool(_word.search(line))
         if worded:
             doubled += line in seen
             seen.add(line)
-        if worded and line_fails(line):
+        if worded and line_fails(line, notices):
             removed += 1
             lost += len(line) - sum(map(line.count, SPACE))
         else:

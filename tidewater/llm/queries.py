@@ -58,7 +58,7 @@ _failed = f"""(2 * len(list_filter(ws, lambda w: regexp_matches(w, '[#*$%&<>^~=_
     OR 3 * len(regexp_extract_all(line, '[#*$%&|<>]')) > c
     OR (len(list_filter(ws, lambda w: w IN ({', '.join(repr(x) for x in sorted(linerules.SEPARATORS))}))) >= greatest(3, n / 5))
     OR (n >= 3 AND len(list_filter(ws, lambda w: regexp_full_match(w, '(https?://|www\\.)\\S+|\\[[^\\]]*\\]\\([^)]*\\)'))) = n)
-    OR regexp_matches(lower(line), '{'|'.join(linerules.BOILERPLATE)}'))"""
+    OR regexp_matches(lower(line), '{'|'.join(linerules.BOILERPLATE).replace("'", "''")}'))"""
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
