@@ -3,11 +3,13 @@
 Overlapping heuristic labellers vote good, bad or nothing on every document. Their votes' patterns are counted over all
 documents (at most 3 ** labellers patterns, whatever the data), and expectation-maximisation on the counts estimates
 each labeller's chance of every vote on good and bad documents, with nothing labelled by hand. The patterns' posteriors
-are the labels of a bounded sample, SAMPLE_ROWS documents expected, on which a hashed linear scorer of word, word-shape
-and document features is trained; it scores every document, and those at THRESHOLD or more are kept.
+are the labels of a bounded sample, SAMPLE_ROWS documents expected and twice as many at most, on which a hashed linear
+scorer of word, word-shape and document features is trained; it scores every document, and those at THRESHOLD or more
+are kept. The sample is of distinct texts by their hash, so rows that repeat a text can't crowd it, and of every
+pattern that the hash leaves out the shortest document is added, so no kind of document goes unseen.
 
 Nulls and edges: a null, empty or wordless text is scored 0 and not kept; very long texts are judged whole; repeated
-rows get equal results; on an empty table nothing is learned and no row results; where no labeller ever disagrees with
+rows get equal results, whatever their ids; on an empty table nothing is learned and no row results; where no labeller ever disagrees with
 the first guess the guess stands; columns besides the id and the text are not read by ``classify`` and are carried as
 they are by ``kept_rows``.
 """
@@ -21,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,13 +32,14 @@ from tidewater.llm.common import map_batches
 from tidewater.llm.linerules import repeated_words
 
 GOOD, BAD = 1, 2
-#: Documents that the scorer is trained on, as expected of a sample by hash; twice as many at most.
+#: Documents that the scorer is trained on, as expected of a sample by hash; twice as many at most, and one a pattern.
 SAMPLE_ROWS = 8000
 DIMENSIONS = 1 << 16
 THRESHOLD = 0.5
 ROUNDS, EPOCHS, RATE, DECAY = 100, 6, 0.3, 1e-6
 WORD_WEIGHT = 4.0
-REMEMBERED = 300_000
+#: Words whose weights a task remembers, none longer than LONG characters.
+REMEMBERED, LONG = 300_000, 40
 #: Frequent words of English, German, French and Spanish.
 STOPWORDS = frozenset(
     "the of and to in a is that it for on was as with be by this are from at or an "
@@ -199,31 +203,56 @@ class Classifier:
     bias: float
 
 
-def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Classifier:
-    """Labels from all rows; the scorer from a sample by hash of the id and the length."""
-    text = df.select(F.col(text_col).alias("text"))
+def vector_arrays(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
+    """The slots and the values of vectors, 32 bits each."""
+    return [pa.array([at.astype(np.int32) for at, _ in rows], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in rows], pa.list_(pa.float32()))]
+
+
+def patterns(text: DataFrame) -> DataFrame:
+    """(code, n, slots, values): each pattern of votes, its documents and the vector of the shortest of them, by checksum of equals."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+        least: dict[int, tuple] = {}
         for batch in batches:
-            held.update(votes(facts(t)[0]) for t in batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.int64())], ["code", "n"])
-
-    found = map_batches(text, count, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow().sort_by("code")
+            for t in batch.column(0).to_pylist():
+                f, words = facts(t)
+                code = votes(f)
+                held[code] += 1
+                if code not in least or f.words <= least[code][0]:
+                    key = (f.words, zlib.crc32((t or "").encode("utf-8", "surrogatepass")))
+                    if code not in least or key < least[code][:2]:
+                        least[code] = (*key, f, words)
+        codes = list(held)
+        first = [least[c] for c in codes]
+        rows = vector_arrays([vector(f, words) for *_, f, words in first])
+        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array([held[c] for c in codes], pa.int64()), pa.array([x[0] for x in first], pa.int64()), pa.array([x[1] for x in first], pa.int64()), *rows], ["code", "n", "words", "crc", "slots", "values"])
+
+    found = map_batches(text, run, "code int, n bigint, words bigint, crc bigint, slots array<int>, values array<float>")
+    least = F.min_by(F.struct("slots", "values"), F.struct("words", "crc"))
+    return found.groupBy("code").agg(F.sum("n").alias("n"), least.alias("x")).select("code", "n", "x.slots", "x.values")
+
+
+def learn(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Classifier:
+    """Labels from all rows; the scorer from a sample of distinct texts by hash and a document of each pattern."""
+    text = df.select(F.col(text_col).alias("text"))
+    found = patterns(text).toArrow().sort_by("code")
     codes, n = found["code"].to_numpy().astype(np.int64), found["n"].to_numpy()
     labels = fit_labels(codes, n)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(votes(f), *vector(f, words)) for f, words in map(facts, batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[2].astype(np.float32) for r in rows], pa.list_(pa.float32()))], ["code", "slots", "values"])
+            rows = [facts(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(f) for f, _ in rows], pa.int32()), *vector_arrays([vector(f, words) for f, words in rows])], ["h", "code", "slots", "values"])
 
     share = min(1.0, sample_rows / max(1, int(n.sum())))
-    chosen = df.where(F.pmod(F.xxhash64(F.col(id_col), F.length(text_col)), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col(text_col).alias("text"))
-    sample = map_batches(chosen, vectors, "code int, slots array<int>, values array<float>").limit(2 * sample_rows).toArrow()
-    y = labels.posterior(sample["code"].to_numpy().astype(np.int64)) if len(sample) else []
-    rows = [(s.values.to_numpy(), v.values.to_numpy().astype(np.float64), float(p)) for s, v, p in zip(sample["slots"], sample["values"], y, strict=True)]
-    return Classifier(labels, *fit_scorer(rows))
+    chosen = text.where("text is not null").withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000))
+    distinct = chosen.groupBy("h").agg(F.first("text").alias("text"))
+    sample = map_batches(distinct, vectors, "h bigint, code int, slots array<int>, values array<float>").limit(2 * sample_rows).toArrow().sort_by("h")
+    left_out = found.filter(pa.compute.invert(pa.compute.is_in(found["code"], pa.array(sample["code"].unique().to_pylist(), pa.int32()))))
+    rows = pa.concat_tables([t.select(["code", "slots", "values"]) for t in (sample, left_out)])
+    y = labels.posterior(rows["code"].to_numpy().astype(np.int64))
+    return Classifier(labels, *fit_scorer([(s.values.to_numpy(), v.values.to_numpy().astype(np.float64), float(p)) for s, v, p in zip(rows["slots"], rows["values"], y, strict=True)]))
 
 
 def scores(texts: list[str | None], model: Classifier, known: dict[str, float]) -> list[tuple[int, float]]:
@@ -241,7 +270,9 @@ def scores(texts: list[str | None], model: Classifier, known: dict[str, float])
             weight = known.get(w)
             if weight is None:
                 a, b = word_slots(w)
-                known[w] = weight = float(model.weights[a]) + float(model.weights[b])
+                weight = float(model.weights[a]) + float(model.weights[b])
+                if len(w) <= LONG:
+                    known[w] = weight
             total += weight
         raw = WORD_WEIGHT * total / (2 * f.words) + float(model.weights[own_slots(f)].sum()) + model.bias
         out.append((votes(f), float(1 / (1 + np.exp(-np.clip(raw, -30, 30))))))
