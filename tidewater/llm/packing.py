@@ -12,6 +12,7 @@ last window may be short, so padding is under one window for a whole corpus.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -26,8 +27,12 @@ from tidewater.llm.common import map_batches, stored
 
 WINDOW = 2048
 END_ID = 1
-#: Distinct space-separated strings whose ids a worker remembers, and bytes of text that it splits at a time.
-REMEMBERED, AT_A_TIME = 900_000, 1 << 18
+#: Distinct space-separated strings whose ids a worker remembers, none longer than LONG, and characters of text that it
+#: splits at a time.
+REMEMBERED, LONG, AT_A_TIME = 900_000, 40, 1 << 18
+#: The normaliser and the splitter, as their files have them, of vocabularies whose ids are found string by string.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Partitions whose starts, twelve bytes each, are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Signs that are stripped from a string's end before it is encoded; they are a run of their own for the splitter.
@@ -37,12 +42,21 @@ _known: dict[str, dict[str, bytes]] = {}
 _tokenizers: dict = {}
 
 
+def by_strings(vocabulary: dict) -> bool:
+    """Whether a vocabulary's ids of a text are those of its space-separated strings."""
+    model, splitter = vocabulary["model"], vocabulary["pre_tokenizer"] or {}
+    steps = splitter.get("pretokenizers", [])
+    split = len(steps) == 2 and steps[0].get("type") == "Split" and steps[0]["pattern"] == {"Regex": SPLITTER} and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+    level = split and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    return bool(level) and vocabulary["normalizer"] == NORMALISER and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+
+
 class Ids:
-    """Token ids as little-endian uint32 bytes, string by string between spaces.
+    """Token ids as little-endian uint32 bytes, string by string between spaces where the vocabulary allows it.
 
-    The vocabulary's normaliser composes, folds white space and lower-cases character by character, and its splitter
-    never joins over white space, so a text's ids are those of its space-separated strings, in order. ``whole`` encodes
-    a text in one call; the tests hold the two against each other.
+    A normaliser that composes, folds white space and lower-cases character by character, and a splitter that never
+    joins over white space, make a text's ids those of its space-separated strings, in order. ``whole`` encodes a text
+    in one call; the tests hold the two against each other. Other vocabularies' texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -52,10 +66,10 @@ class Ids:
         if path not in _tokenizers:
             found = Tokenizer.from_file(path)
             found.encode_special_tokens = True  # their strings in a text are ordinary text
-            ends = np.zeros(found.get_vocab_size() + 1, bool)
+            ends = np.zeros(max(found.get_vocab().values(), default=0) + 1, bool)
             ends[[i for token, i in found.get_vocab().items() if token.endswith("</w>")]] = True
-            _tokenizers[path] = found, ends
-        (self.tokenizer, self.ends), self.known = _tokenizers[path], _known.setdefault(path, {})
+            _tokenizers[path] = found, ends, by_strings(json.loads(found.to_str()))
+        (self.tokenizer, self.ends, self.by_strings), self.known = _tokenizers[path], _known.setdefault(path, {})
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -72,13 +86,15 @@ class Ids:
         yield from self.few(part)
 
     def few(self, texts: list[str]) -> list[bytes]:
+        if not self.by_strings:
+            return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split).difference(known)
         plain, parts = set(), []
-        for w in new:
+        for w in (*new, *plain):
             base = w.rstrip(SIGNS)
             if base is not w and base.isalpha():
                 low = base.lower() if base.isascii() else base
@@ -94,8 +110,11 @@ class Ids:
             known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
         for w, low, signs in parts:
             known[w] = known[low] + known[signs]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-
+        done = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in (*new, *plain):
+            if len(w) > LONG:  # long strings are few, or else would fill the memory
+                known.pop(w, None)
+        return done
 
     def letters(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """(word, ids) of words of letters alone: each is one run, and only a run's last id is a word end."""
