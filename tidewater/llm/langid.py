@@ -35,8 +35,8 @@ PENALTY = 12.0
 SMOOTHING = 0.5
 #: A language is a candidate for a word if the word's script has this share of the language's letters.
 SCRIPT_SHARE = 0.01
-#: Distinct words that a task holds before it counts or forgets them.
-REMEMBERED = 300_000
+#: Distinct words, and characters of them, that a task holds before it counts or forgets them.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 8 << 20
 UNKNOWN = "und"
 #: First code points of the letters of scripts, after Unicode's blocks; each range ends where the next begins.
 SCRIPTS = (
@@ -84,7 +84,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket of each gram, index of its word, script of each word)."""
+    """(bucket of each gram, index of its word, script of each word: that of most of its letters, the first's of equals)."""
     joined = "\x02" + "\x03\x02".join(words) + "\x03"
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     word = np.cumsum(code == 2) - 1
@@ -93,8 +93,12 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     mixed = lambda h: ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(BUCKETS)
     in2, in3 = code[:-1] != 3, (code[:-2] != 3) & (code[1:-1] != 3)
     whole = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in words), np.int64, len(words))
-    first = code[np.flatnonzero(code == 2) + 1].astype(np.int64)
-    script = _script_of_range[np.searchsorted(_firsts, first, "right") - 1]
+    letter = code > 3
+    scripts, kinds = _script_of_range[np.searchsorted(_firsts, code[letter].astype(np.int64), "right") - 1], len(SCRIPT_NAMES)
+    of = word[letter]
+    share = np.bincount(of * kinds + scripts, minlength=len(words) * kinds).reshape(-1, kinds) * 2
+    share[np.arange(len(words)), scripts[np.flatnonzero(np.diff(of, prepend=-1))]] += 1
+    script = share.argmax(1)
     bucket = np.concatenate([mixed(two[in2]).astype(np.int64), mixed(three[in3]).astype(np.int64), whole])
     return bucket, np.concatenate([word[:-1][in2], word[:-2][in3], np.arange(len(words))]), script
 
@@ -131,10 +135,11 @@ def counted(df: DataFrame) -> DataFrame:
         held: dict[str, Counter] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(lang, Counter()).update(words_of(text))
-            if sum(map(len, held.values())) > REMEMBERED:
-                yield from (rows(k, c) for k, c in held.items() if c)
-                held.clear()
+                words = words_of(text)
+                held.setdefault(lang, Counter()).update(words)
+                if sum(map(len, held.values())) > REMEMBERED or sum(map(len, words)) > REMEMBERED_CHARS:
+                    yield from (rows(k, c) for k, c in held.items() if c)
+                    held.clear()
         yield from (rows(k, c) for k, c in held.items() if c)
 
     return map_batches(df, run, "lang string, kind int, slot int, n bigint").groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n"))
@@ -204,15 +209,15 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: dict[str, int] = {}
-        known = np.zeros((0, len(model.langs)))
+        known, chars = np.zeros((0, len(model.langs))), 0
         for batch in batches:
             split = [words_of(t) for t in batch.column(1).to_pylist()]
-            if len(at) > REMEMBERED:
-                at, known = {}, known[:0]
+            if len(at) > REMEMBERED or chars > REMEMBERED_CHARS:
+                at, known, chars = {}, known[:0], 0
             new = list({w for words in split for w in words if w not in at})
             if new and model.langs:
                 at.update(zip(new, range(len(at), len(at) + len(new)), strict=True))
-                known = np.vstack([known, model.scores(new)])
+                known, chars = np.vstack([known, model.scores(new)]), chars + sum(map(len, new))
             preds, sure, spans = [], [], []
             for words in split:
                 if not words or not model.langs:

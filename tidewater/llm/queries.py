@@ -43,7 +43,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.held_out_predictions(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.held_out_predictions(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "spans")
 
 
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
