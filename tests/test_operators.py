@@ -1,6 +1,8 @@
 """Laws and exact values of the operators that the tables alone don't show."""
 
 import itertools
+import os
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidewater.functions import rng
 from tidewater.operators import exponential, joins, ordering, pool, rescoring, sampling, schedule, split, stats
 from tidewater.streaming import anchors, queues, windows
 
@@ -17,24 +20,41 @@ def values(df, *columns):
 
 
 # Sampling laws.
-@given(st.integers(1, 400), st.sampled_from([0.1, 0.125, 0.2, 0.3, 0.5, 0.8, 1.0]), st.integers(1, 12), st.integers(0, 5))
-@settings(max_examples=60, deadline=None)
-def test_uses_take_each_position_once_a_round(n, rate, uses, seed):
-    draw = np.random.default_rng(seed)
-    at, use = sampling.sample_uses(n, rate, uses, lambda: draw.random(n))
-    assert len(set(zip(at.tolist(), use.tolist()))) == len(at)
-    assert use.max(initial=0) < uses and at.max(initial=0) < n
-    whole = round(1 / rate)
-    if abs(whole * rate - 1) < 1e-12 and uses >= whole and rate not in (0.3, 0.8):
-        first = at[use < whole]
-        assert sorted(first.tolist()) == list(range(n))  # disjoint, and together everything
-
-
-def test_uses_hold_their_share():
-    n = 20_000
-    draw = np.random.default_rng(3)
-    _, use = sampling.sample_uses(n, 0.1, 10, lambda: draw.random(n))
-    assert np.all(np.abs(np.bincount(use) - 0.1 * n) < 0.25 * 0.1 * n)
+def plain_uses(rate, uses, draw):
+    """Uses of one position by walking the line share by share, in exact numbers."""
+    rate, found, out, line = Fraction(rate), [], False, 0
+    while line < uses * rate:
+        use = int((line + Fraction(draw(line))) / rate)
+        met_at_end = (use + 1) * rate > line + 1
+        if not out and use < uses:
+            found.append(use)
+        out = not out and met_at_end
+        line += 1
+    return found
+
+
+@pytest.mark.parametrize(("rate", "exact"), [(0.5, "1/2"), (0.125, "1/8"), (0.3, "3/10"), (0.4, "2/5"), (0.75, "3/4"), (0.7, "7/10"), (1.0, "1")])
+def test_position_uses_against_a_walk_of_the_line(spark, rate, exact):
+    uses, n = 9, 300
+    rows = sampling.sampled_positions(spark.createDataFrame([(1, n)], "global_index bigint, n int"), rate, uses, "s").collect()
+    got = {i: [] for i in range(n)}
+    for r in rows:
+        got[r["frame_idx"]].append(r["use_count"])
+    assert got == {i: plain_uses(exact, uses, lambda line, i=i: rng.number("s", 1, line, i)) for i in range(n)}
+    assert all(len(set(u)) == len(u) for u in got.values())
+    if 1 / rate == int(1 / rate):
+        whole = int(1 / rate)
+        assert all(sorted(x // whole for x in u) == list(range(len(u))) for u in got.values())  # once a round
+    shares = [sum(u.count(k) for u in got.values()) / n for k in range(uses)]
+    assert all(abs(x - rate) < 0.12 for x in shares if rate < 0.5)
+    one = spark.createDataFrame([(i, k) for i in range(60) for k in range(uses)], "frame_idx int, use_count int")
+    met = one.where(sampling.sampled_at(lambda line: rng.uniform("s", F.lit(1), line, F.col("frame_idx")), rate, F.col("use_count"))).collect()
+    assert sorted((r["frame_idx"], r["use_count"]) for r in met) == sorted((i, k) for i in range(60) for k in got[i])
+
+
+def test_later_epochs_are_not_empty(spark):
+    rows = sampling.sampled_positions(spark.createDataFrame([(1, 600)], "global_index bigint, n int"), 0.5, 4, "s").groupBy("use_count").count().collect()
+    assert len(rows) == 4 and all(240 < r["count"] < 360 for r in rows)
 
 
 def test_sampled_positions_are_repeatable(spark):
@@ -51,23 +71,49 @@ def test_reservoir_counts(spark, n, size, out):
     assert sorted(r["id"] for r in sampling.reservoir_shuffle(rows, size, 1, drain=True).collect()) == list(range(n))
 
 
+def test_reservoirs_over_many_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = [r["id"] for r in sampling.reservoir_shuffle(spark.range(500).coalesce(1), 20, 3, drain=True).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(out) == list(range(500)) and out != sorted(out) and sum(abs(a - b) for a, b in enumerate(out)) / 500 > 10
+
+
 def test_unpack_by_count_walks_the_sequence(spark):
-    chunks = spark.createDataFrame([(7, u, [10, 11, 12]) for u in range(3)] + [(8, 0, [])], "global_index bigint, use_count int, frames array<int>")
-    got = values(sampling.unpack(chunks, "s", count=2, most_uses=2), "use_count", "frame")
-    assert [u for u, _ in got] == [0, 0, 1, 1, 2, 2]
-    assert sorted(f for _, f in got) == [10, 10, 11, 11, 12, 12]  # two permutations
-    emitted, requests = sampling.prefetched(sampling.unpack(chunks.where("use_count = 0"), "s", count=3))
-    assert emitted.count() == 1 and requests.collect()[0]["next_use"] == 1 and len(requests.collect()[0]["items"]) == 2
+    chunks = spark.createDataFrame([(7, u, i) for u in range(3) for i in range(3)], "global_index bigint, use_count int, frame_idx int")
+    got = values(sampling.unpack(chunks, "s", count=2), "use_count", "frame_idx", "place")
+    assert [u for u, *_ in got] == [0, 0, 1, 1, 2, 2] and sorted(p for *_, p in got) == list(range(6))
+    assert sorted(f for _, f, _ in got) == [0, 0, 1, 1, 2, 2]  # two permutations
+    emitted, offered = sampling.prefetched(sampling.unpack(chunks, "s", count=1, prefetch=3))
+    assert values(emitted, "use_count", "place") == [(0, 0), (1, 1), (2, 2)]
+    assert values(offered, "next_use", "place") == [(u + 1, u + k) for u in range(3) for k in (1, 2, 3)]
+
+
+def test_unpack_by_count_favours_weight(spark):
+    frames = spark.createDataFrame([(g, 0, i, 0.0, 1.0 if i < 2 else 0.0, 0.0) for g in range(300) for i in range(4)], "global_index bigint, use_count int, frame_idx int, best_q double, orig_q double, policy_kld double")
+    got = values(sampling.unpack(frames, "s", count=1, weights={"q_weight": 1.0, "pol_scale": 1.0, "beta": 0.05}), "frame_idx")
+    light = sum(1 for (i,) in got if i >= 2)
+    assert len(got) == 300 and 5 < light < 60
+    nothing = sampling.unpack(frames.withColumn("policy_kld", F.lit(-9.0)), "s", count=1, weights={"q_weight": 1.0, "pol_scale": 1.0})
+    assert len(nothing.collect()) == 300  # no weight is positive: all count alike
 
 
 def test_unpack_by_rate_is_disjoint(spark):
-    chunks = spark.createDataFrame([(7, u, list(range(40))) for u in range(4)], "global_index bigint, use_count int, frames array<int>")
-    assert sorted(f for _, f in values(sampling.unpack(chunks, "s", rate=0.25), "use_count", "frame")) == list(range(40))
+    chunks = spark.createDataFrame([(7, u, i) for u in range(4) for i in range(40)], "global_index bigint, use_count int, frame_idx int")
+    assert [f for f, _ in values(sampling.unpack(chunks, "s", rate=0.25), "frame_idx", "use_count")] == list(range(40))
     for bad in ({}, {"rate": 0.5, "count": 1}, {"rate": 1.5}, {"count": 0}):
         with pytest.raises(ValueError):
             sampling.unpack(chunks, "s", **bad)
 
 
+def test_null_keys_draw_numbers_of_their_own(spark):
+    rows = spark.createDataFrame([(None, 1), (1, None), (None, None)], "a int, b int")
+    assert rows.select(rng.uniform("s", F.col("a"), F.col("b"))).distinct().count() == 3
+    assert spark.range(1).select(rng.uniform("s", F.lit(3), F.lit("x"))).first()[0] == rng.number("s", 3, "x")
+
+
 def test_position_weight(spark):
     nan = float("nan")
     rows = spark.createDataFrame([(0.5, 0.25, 0.1), (0.5, nan, 0.1), (0.5, 0.25, 100.0), (0.5, None, 0.0), (0.0, 0.0, -3.0)], "b double, o double, k double")
@@ -262,18 +308,26 @@ def test_overflow(spark):
         queues.kept(puts, "edge", "n", 3, "SPILL")
 
 
-def test_anchor(spark):
+def test_anchor(spark, tmp_path):
     sources = lambda *rows: spark.createDataFrame(list(rows), "sort_key string, chunk_count bigint")
-    a = anchors.Anchor(key="b")
+    path = f"file://{tmp_path}/anchor"
+    a = anchors.Anchor(spark, path)
+    a.set("b")
     a.add(sources(("a", 5), ("b", 7), ("c", 3)))
     assert (a.chunks, a.newest) == (3, "c")
     a.add(sources(("a2", 4)), batch=0)
+    a = anchors.Anchor(spark, path)  # a restart goes on from what was kept
     a.add(sources(("a2", 4)), batch=0)  # the same batch again
     assert a.chunks == 7
     assert a.reset() == ("c", 7) and a.chunks == 0
-    a.add(sources(("d", 2)))
+    a.add(sources(("d", 2)), batch=1)
     a.set("x")
     assert (a.key, a.chunks) == ("x", 2)
+    os.makedirs(tmp_path / "anchor" / "version=99")  # a version that was never finished
+    b = anchors.Anchor(spark, path)
+    assert b.state == a.state and b.state.batch == 1 and b.version == a.version
+    b.add(sources(("e", 1)), batch=2)
+    assert anchors.Anchor(spark, path).chunks == 3
 
 
 def test_trim(spark):

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What stands for a null key.
+NULL = "\x00"
+
+
 def digits(n: int, *keys: Column | str | int) -> Column:
-    """The first n hex digits of the md5 of the keys joined by #, as a long."""
-    parts = [k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in keys]
+    """The first n hex digits of the md5 of the keys joined by #, as a long; a null key counts as a sign of its own."""
+    parts = [F.coalesce(k.cast("string"), F.lit(NULL)) if isinstance(k, Column) else F.lit(str(k)) for k in keys]
     return F.conv(F.substring(F.md5(F.concat_ws("#", *parts)), 1, n), 16, 10).cast("bigint")
 
 
@@ -29,3 +35,8 @@ def sql_uniform(*keys: str) -> str:
 
 def sql_below(n: int, *keys: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('#', {', '.join(keys)})), 1, 15))::BIGINT % {n})"
+
+
+def number(*keys: str | int) -> float:
+    """uniform() of plain values."""
+    return int(hashlib.md5("#".join(map(str, keys)).encode()).hexdigest()[:13], 16) / (1 << 52)

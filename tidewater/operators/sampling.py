@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import random
-import zlib
 from collections.abc import Callable, Iterator
-from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -45,48 +42,70 @@ def normalised(df: DataFrame, weight: str, chunk: str) -> DataFrame:
     return df.withColumn("probability", F.when(most <= 0, F.lit(1.0)).otherwise(F.col(weight) / most))
 
 
-def first_round(u: Column, rate: float, use_count: Column) -> Column:
-    """Whether a position is sampled at use_count, below floor(1 / rate): disjoint samples that meet all positions once."""
-    return F.floor(u / F.lit(rate)) == use_count
+def position_uses(draw: Callable[[Column], Column], rate: float, uses: Column) -> Column:
+    """The uses, under the given number, at which a position is sampled at this rate: an array, in order.
 
+    Each share of length rate on an endless line belongs to a use. On every unit of the line the position falls on one
+    place, line + draw(line), and is sampled at that place's use. A share that reaches over the end of a unit meets the
+    position twice if it falls there on both sides; whoever was met at the end of a unit is left out of the next.
+    """
 
-def sample_uses(n: int, rate: float, uses: int, draw: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(position, use) of every sampling of n positions in the first uses, each use taking about rate * n of them.
+    def step(acc: Column, line: Column) -> Column:
+        use, last = F.floor((line + draw(line)) / F.lit(rate)), F.floor((line + F.lit(1)) / F.lit(rate))
+        found = F.when(~acc["out"] & (use < uses), F.concat(acc["found"], F.array(use))).otherwise(acc["found"])
+        out = ~acc["out"] & (use == last) & (last * F.lit(rate) < line + F.lit(1))
+        return F.struct(found.alias("found"), out.alias("out"))
 
-    A uniform number laid on a line of shares, each ``rate`` long, names a position's use. The line holds a whole number
-    of shares and a rest; positions on the rest belong to the use after the line, whose share is then completed from a
-    fresh line, laid for the others alone and starting with what the rest left over. draw gives n new numbers for each line.
-    """
-    found, lead, base, live = [], rate, 0, np.ones(n, bool)
-    while base < uses:
-        whole = int((1.0 - lead) / rate) + 1
-        u = draw()
-        use = np.where(u < lead, 0, np.floor((u - lead) / rate).astype(np.int64) + 1)
-        at = np.flatnonzero(live & (base + use < uses))
-        found.append((at, base + use[at]))
-        rest = 1.0 - lead - (whole - 1) * rate
-        live = ~(live & (use >= whole))
-        base, lead = base + whole, rate - rest
-    at, use = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
-    return at, use
-
-
-def probabilistic_sequence(df: DataFrame, chunk: str, frame: str, probability: str, take: int, skip: Column, seed: str, most_skip: int, uses: str | None = None) -> DataFrame:
-    """Frames skip .. skip + take - 1 of each chunk's endless sequence: permutations one after another, thinned by probability.
+    start = F.struct(F.array().cast("array<bigint>").alias("found"), F.lit(False).alias("out"))
+    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.floor(uses * F.lit(rate))), start, step, lambda acc: acc["found"])
 
-    Probabilities' maximum is one, so each block yields a frame at least and skip + take blocks are enough. With uses,
-    a chunk's rows of each value of that column are taken apart; they share the chunk's sequence.
-    """
-    blocks = df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(most_skip + take - 1))))
-    kept = blocks.where(rng.uniform(seed, "accept", F.col(chunk), F.col("block"), F.col(frame)) < F.col(probability))
-    order = Window.partitionBy(chunk, *([uses] if uses else [])).orderBy("block", rng.uniform(seed, "order", F.col(chunk), F.col("block"), F.col(frame)), frame)
-    return kept.withColumn("place", F.row_number().over(order) - F.lit(1)).where((F.col("place") >= skip) & (F.col("place") < skip + take))
+
+def sampled_at(draw: Callable[[Column], Column], rate: float, use: Column) -> Column:
+    """Whether position_uses has this use."""
+    return F.array_contains(position_uses(draw, rate, use.cast("bigint") + F.lit(1)), use.cast("bigint"))
+
+
+def sampled_positions(chunks: DataFrame, rate: float, uses: int, seed: str, chunk: str = "global_index", n: str = "n") -> DataFrame:
+    """(chunk, frame_idx, use_count) of all samples in the first uses of chunks of n frames."""
+    frames = chunks.where(F.col(n) > 0).select(chunk, F.explode(F.sequence(F.lit(0), (F.col(n) - F.lit(1)).cast("int"))).alias("frame_idx"))
+    at = position_uses(lambda line: rng.uniform(seed, F.col(chunk), line, F.col("frame_idx")), rate, F.lit(uses).cast("bigint"))
+    return frames.select(chunk, "frame_idx", F.explode(at).alias("use_count"))
 
 
-def unpack(chunks: DataFrame, seed: str, rate: float | None = None, count: int | None = None, chunk: str = "global_index", most_uses: int = 1) -> DataFrame:
-    """Frames of (chunk, use_count, frames) rows: a sample of rate at this use, or count of the sequence after those used before.
+def probabilistic_sequence(df: DataFrame, chunk: str, frame: str, probability: str, take: int, skip: Column, seed: str, uses: str | None = None) -> DataFrame:
+    """Frames skip .. skip + take - 1 of each chunk's endless sequence: permutations one after another, thinned by probability.
 
-    Whole frames are exploded after the choice of positions. An empty chunk yields nothing.
+    Adds block, the number of the permutation, and place in the sequence. With uses, a chunk's rows of each value of that
+    column are taken apart; they share the chunk's sequence. A group is one chunk's frames; its permutations are made one
+    by one until the last place is filled. A chunk in which no probability is positive gives nothing.
+    """
+    keyed, by = df.withColumn("_skip", skip.cast("bigint")), [chunk, *([uses] if uses else [])]
+    schema = T.StructType([*df.schema.fields, T.StructField("block", T.IntegerType()), T.StructField("place", T.IntegerType())])
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        name, p = key[0].as_py(), table[probability].to_numpy(zero_copy_only=False)
+        frames, first = table[frame].to_pylist(), table["_skip"][0].as_py()
+        rows, blocks, places = [], [], []
+        block = done = 0
+        while done < first + take and np.nanmax(p, initial=0.0) > 0:
+            own = [i for i, f in enumerate(frames) if rng.number(seed, "accept", name, block, f) < p[i]]
+            own.sort(key=lambda i: (rng.number(seed, "order", name, block, frames[i]), frames[i]))
+            for i in own[max(0, first - done) : max(0, first + take - done)]:
+                rows.append(i)
+                blocks.append(block)
+            done, block = done + len(own), block + 1
+        places = range(first, first + len(rows))
+        out = table.drop_columns(["_skip"]).take(pa.array(rows, pa.int64()))
+        return out.append_column("block", pa.array(blocks, pa.int32())).append_column("place", pa.array(places, pa.int32()))
+
+    return keyed.groupBy(*by).applyInArrow(one, schema)
+
+
+def unpack(frames: DataFrame, seed: str, rate: float | None = None, count: int | None = None, prefetch: int = 0, weights: dict | None = None, chunk: str = "global_index") -> DataFrame:
+    """(chunk, use_count, frame_idx, place) of the frames that each use of a chunk emits.
+
+    With a rate, those sampled at the use, place null. With a count, count + prefetch frames of the chunk's sequence after
+    the count of each use before, thinned by position_weight(**weights) over the chunk's greatest where weights are given.
     """
     if (rate is None) == (count is None):
         raise ValueError("exactly one of rate and count is needed")
@@ -95,61 +114,59 @@ def unpack(chunks: DataFrame, seed: str, rate: float | None = None, count: int |
     if count is not None and count < 1:
         raise ValueError("count must be positive")
     if rate is not None:
-        u = lambda i: rng.uniform(seed, F.col(chunk), i)
-        places = F.filter(F.sequence(F.lit(0), F.size("frames") - 1), lambda i: first_round(u(i), rate, F.col("use_count")))
-        chosen = chunks.where(F.size("frames") > 0).select("*", F.explode(places).alias("frame_idx"))
-        return chosen.withColumn("frame", F.get("frames", F.col("frame_idx"))).drop("frames")
-    slim = chunks.where(F.size("frames") > 0).select(chunk, "use_count", F.posexplode("frames").alias("frame_idx", "frame")).withColumn("probability", F.lit(1.0))
-    return probabilistic_sequence(slim, chunk, "frame_idx", "probability", count, F.col("use_count") * count, seed, most_uses * count, "use_count").drop("probability", "block")
+        draw = lambda line: rng.uniform(seed, F.col(chunk), line, F.col("frame_idx"))
+        return frames.where(sampled_at(draw, rate, F.col("use_count"))).select(chunk, "use_count", "frame_idx", F.lit(None).cast("int").alias("place"))
+    slim = frames.select(chunk, "use_count", "frame_idx", (position_weight(F.col("best_q"), F.col("orig_q"), F.col("policy_kld"), **weights) if weights else F.lit(1.0)).cast("double").alias("_weight"))
+    slim = normalised(slim, "_weight", chunk) if weights else slim.withColumnRenamed("_weight", "probability")
+    taken = probabilistic_sequence(slim, chunk, "frame_idx", "probability", count + prefetch, F.col("use_count") * count, seed, "use_count")
+    return taken.select(chunk, "use_count", "frame_idx", "place")
 
 
-def prefetched(unpacked: DataFrame, chunk: str = "global_index") -> tuple[DataFrame, DataFrame]:
-    """(each chunk's first frame, cache requests for the rest with next_use)."""
-    first = F.row_number().over(Window.partitionBy(chunk, "use_count").orderBy("place"))
-    marked = unpacked.withColumn("_first", first)
-    rest = marked.where("_first > 1").groupBy(chunk, (F.col("use_count") + F.lit(1)).alias("next_use")).agg(F.sort_array(F.collect_list(F.struct("place", "frame"))).alias("items"))
-    return marked.where("_first = 1").drop("_first"), rest
+def prefetched(unpacked: DataFrame, count: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(frames that a use emits itself, frames that it offers for the uses to come, with next_use) of unpack's rows."""
+    first = F.col("place") < F.col("use_count") * count + count
+    return unpacked.where(first), unpacked.where(~first).withColumn("next_use", F.col("use_count") + F.lit(1))
 
 
 def reservoir_shuffle(df: DataFrame, size: int, seed: int, drain: bool = False) -> DataFrame:
     """Each partition through a reservoir: filled first, then a random slot leaves for each row that comes.
 
-    A partition of n rows emits max(0, n - size + 1); with drain, the rest follow shuffled, so that no row is lost. A row
-    is held as it came in its Arrow batch, so memory is that of the reservoir's rows.
+    A partition of n rows emits max(0, n - size + 1); with drain, the rest follow shuffled, so that no row is lost. Slots
+    are numbers of rows in the batches that came; once the batches hold twice the reservoir's rows, those in it are copied
+    out and the batches are let go.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draw, held, schema = random.Random(f"{seed}:{TaskContext.get().partitionId()}"), [], None
+        draw = random.Random(f"{seed}:{TaskContext.get().partitionId()}")
+        parts: list[pa.Table] = []
+        slots: list[int] = []
+
+        def picked(rows: list[int]) -> pa.Table:
+            starts = np.cumsum([0, *map(len, parts)])
+            at = np.asarray(rows, np.int64)
+            part = np.searchsorted(starts, at, "right") - 1
+            order = np.argsort(part, kind="stable")
+            found = pa.concat_tables([parts[k].take(pa.array(at[part == k] - starts[k])) for k in np.unique(part)])
+            return found.combine_chunks().take(pa.array(np.argsort(order)))
+
         for batch in batches:
-            schema, out = batch.schema, []
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                if len(held) < size - 1:
-                    held.append(row)
+            before = sum(map(len, parts))
+            parts.append(pa.Table.from_batches([batch]))
+            leave = []
+            for row in range(before, before + batch.num_rows):
+                if len(slots) < size - 1:
+                    slots.append(row)
                     continue
-                held.append(row)
-                at = draw.randrange(size)
-                held[at], held[-1] = held[-1], held[at]
-                out.append(held.pop())
-            if out:
-                yield from pa.Table.from_batches(out, schema).combine_chunks().to_batches()
-        if drain and held:
-            draw.shuffle(held)
-            yield from pa.Table.from_batches(held, schema).combine_chunks().to_batches()
+                at = draw.randrange(size)  # the last slot is the row itself
+                leave.append(slots[at] if at < size - 1 else row)
+                if at < size - 1:
+                    slots[at] = row
+            if leave:
+                yield from picked(leave).to_batches()
+            if before + batch.num_rows > 2 * size + batch.num_rows:
+                parts[:], slots[:] = ([picked(slots).combine_chunks()], range(len(slots))) if slots else ([], [])
+        if drain and slots:
+            draw.shuffle(slots)
+            yield from picked(slots).to_batches()
 
     return df.mapInArrow(run, df.schema)
-
-
-def sampled_positions(chunks: DataFrame, rate: float, uses: int, seed: str, chunk: str = "global_index", n: str = "n") -> DataFrame:
-    """(chunk, frame_idx, use_count) for all of the first uses, boundary rounds included. Chunks are independent rows."""
-
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("frame_idx", T.IntegerType()), T.StructField("use_count", T.IntegerType())])))
-    def pick(key: pd.Series, size: pd.Series) -> pd.Series:
-        out = []
-        for k, n_ in zip(key, size, strict=True):
-            draw = np.random.default_rng([zlib.crc32(f"{seed}:{k}".encode())])
-            at, use = sample_uses(n_, rate, uses, partial(draw.random, n_))
-            out.append([{"frame_idx": i, "use_count": u} for i, u in zip(at.tolist(), use.tolist(), strict=True)])
-        return pd.Series(out)
-
-    return chunks.select(F.col(chunk), F.explode(pick(F.col(chunk), F.col(n))).alias("p")).select(chunk, "p.frame_idx", "p.use_count")

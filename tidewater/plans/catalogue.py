@@ -238,11 +238,16 @@ def q_hanse_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.accepted(weights, 2.0, SEED).where("accepted").select("chunk")
 
 
-@query(f"WITH {FRAMES} SELECT event_id, floor({sql_uniform(repr(SEED), 'chunk', 'frame_idx')} / 0.125)::BIGINT AS use_count FROM frames")
+# A position on unit L of the line falls in share (L + u) / rate. It is left out of a unit if the run of units before, on
+# each of which it fell in the share over the unit's end, is odd: the first of such a run counts, the next doesn't.
+@query(f"""WITH {FRAMES}, t AS (SELECT event_id, line, floor((line + {sql_uniform(repr(SEED), 'chunk', 'line', 'frame_idx')}) / 0.3)::BIGINT AS use_count, floor((line + 1) / 0.3)::BIGINT AS last FROM frames, range(4) r(line)),
+    s AS (SELECT *, use_count = last AND last * 0.3 < line + 1 AS over FROM t),
+    r AS (SELECT *, line - 1 - coalesce(max(CASE WHEN NOT over THEN line END) OVER (PARTITION BY event_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS run FROM s)
+    SELECT event_id, use_count FROM r WHERE run % 2 = 0 AND use_count < 10""")
 def q_pick_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = rng.uniform(SEED, F.col("chunk"), F.col("frame_idx"))
-    uses = frames(spark, sf_dir).withColumn("use_count", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    return uses.where(sampling.first_round(u, 0.125, F.col("use_count"))).select("event_id", F.col("use_count").cast("bigint").alias("use_count"))
+    """Ten uses at a rate whose shares reach over the ends of units."""
+    at = sampling.position_uses(lambda line: rng.uniform(SEED, F.col("chunk"), line, F.col("frame_idx")), 0.3, F.lit(10).cast("bigint"))
+    return frames(spark, sf_dir).select("event_id", F.explode(at).alias("use_count"))
 
 
 SEQUENCE = f"""{WEIGHTS}, p AS (SELECT chunk, frame_idx, CASE WHEN max(weight) OVER (PARTITION BY chunk) <= 0 THEN 1 ELSE weight / max(weight) OVER (PARTITION BY chunk) END AS probability FROM weighted),
@@ -256,14 +261,16 @@ def sequence_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SEQUENCE} SELECT chunk, frame_idx, block, place FROM o WHERE place >= 2 AND place < 6")
 def q_prob_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = sampling.probabilistic_sequence(sequence_frames(spark, sf_dir), "chunk", "frame_idx", "probability", 4, F.lit(2), SEED, 2)
+    taken = sampling.probabilistic_sequence(sequence_frames(spark, sf_dir), "chunk", "frame_idx", "probability", 4, F.lit(2), SEED)
     return taken.select("chunk", "frame_idx", F.col("block").cast("bigint").alias("block"), F.col("place").cast("bigint").alias("place"))
 
 
-@query(f"WITH {SEQUENCE} SELECT chunk, frame_idx, place = 0 AS emitted, 1::BIGINT AS next_use FROM o WHERE place < 6")
+@query(f"WITH {SEQUENCE} SELECT chunk, frame_idx, place = 0 AS emitted, CASE WHEN place > 0 THEN 1::BIGINT END AS next_use FROM o WHERE place < 6")
 def q_unpack_prefetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = sampling.probabilistic_sequence(sequence_frames(spark, sf_dir), "chunk", "frame_idx", "probability", 6, F.lit(0), SEED, 0)
-    return taken.select("chunk", "frame_idx", (F.col("place") == 0).alias("emitted"), F.lit(1).cast("bigint").alias("next_use"))
+    rows = frames(spark, sf_dir).withColumnRenamed("kld", "policy_kld").withColumn("use_count", F.lit(0).cast("bigint"))
+    emitted, offered = sampling.prefetched(sampling.unpack(rows, SEED, count=1, prefetch=5, weights=WEIGHT, chunk="chunk"))
+    both = emitted.select("chunk", "frame_idx", F.lit(True).alias("emitted"), F.lit(None).cast("bigint").alias("next_use"))
+    return both.unionByName(offered.select("chunk", "frame_idx", F.lit(False).alias("emitted"), "next_use"))
 
 
 @query("SELECT greatest(0, count(*) - 100 + 1) AS emitted FROM events")
@@ -699,11 +706,11 @@ def q_error_and_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The flagship pipeline, end to end: window, weights, acceptance, unpacking and batches.
 @query(f"""WITH {WEIGHTS}, c AS (SELECT chunk, sum(weight) AS weight FROM weighted GROUP BY chunk), m AS (SELECT max(weight) AS most FROM c),
     kept AS (SELECT chunk FROM c, m WHERE {sql_uniform(repr(SEED), 'chunk')} < pow(weight / most, 1.0)),
-    p AS (SELECT event_id, chunk, frame_idx FROM weighted JOIN kept USING (chunk) WHERE floor({sql_uniform(repr(SEED), 'chunk', 'frame_idx')} / 0.25) = 0),
+    p AS (SELECT event_id, chunk, frame_idx FROM weighted JOIN kept USING (chunk) WHERE floor({sql_uniform(repr(SEED), 'chunk', '0', 'frame_idx')} / 0.25) = 0),
     o AS (SELECT event_id, row_number() OVER (ORDER BY {sql_uniform(repr(SEED), "'out'", 'event_id')}, event_id) - 1 AS n, count(*) OVER () // 64 AS whole FROM p)
     SELECT event_id, n // 64 AS batch_id, n % 64 AS place FROM o WHERE n // 64 < whole""")
 def q_training_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frames(spark, sf_dir).select("event_id", "chunk", "frame_idx", weight().alias("weight"))
     kept = pool.accepted(rows.groupBy("chunk").agg(F.sum("weight").alias("weight")), 1.0, SEED).where("accepted").select("chunk")
-    chosen = rows.join(kept, "chunk").where(sampling.first_round(rng.uniform(SEED, F.col("chunk"), F.col("frame_idx")), 0.25, F.lit(0))).select("event_id")
+    chosen = rows.join(kept, "chunk").where(sampling.sampled_at(lambda line: rng.uniform(SEED, F.col("chunk"), line, F.col("frame_idx")), 0.25, F.lit(0))).select("event_id")
     return joins.batches(numbered(chosen, [rng.uniform(SEED, "out", F.col("event_id")), F.col("event_id")]), 64).select("event_id", "batch_id", "place")
