@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Planes of history, of the board in all, and the divisor of the move counter.
 HISTORY_PLANES, PLANES, RULE50 = 104, 112, 99.0
@@ -17,9 +20,23 @@ VALUE_ROWS = (("result_q", "result_d", "plies_left"), ("best_q", "best_d", "best
 RULE50_100_FORMATS, ARMAGEDDON_FORMATS = (4, 5, 132, 133), (132, 133)
 
 
-def bits(plane: Column) -> Column:
+def squares(words: pa.Array) -> pa.Array:
+    """64 floats for each 64-bit word: its bytes from the lowest, each from its highest bit."""
+    plain = words.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
+    return pa.array(np.unpackbits(plain.view(np.uint8)).astype(np.float32))
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def bits(plane: pa.Array) -> pa.Array:
     """64 floats: square s is bit s XOR 7 of the plane."""
-    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda s: F.getbit(plane, s.bitwiseXOR(F.lit(7))).cast("float"))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * len(plane) + 1, 64, dtype=np.int32)), squares(plane), mask=plane.is_null())
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def history(planes: pa.Array) -> pa.Array:
+    """bits() of all planes of an array, one after another."""
+    ends = np.cumsum([0, *planes.value_lengths().fill_null(0).to_pylist()], dtype=np.int32) * 64
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), squares(planes.flatten()), mask=planes.is_null())
 
 
 def filled(value: Column) -> Column:
@@ -34,7 +51,7 @@ def meta_planes(us_ooo: Column, us_oo: Column, them_ooo: Column, them_oo: Column
 
 def input_planes(planes: Column, *meta: Column) -> Column:
     """All 112 planes of a frame as 7168 floats."""
-    return F.concat(F.flatten(F.transform(F.slice(planes, 1, HISTORY_PLANES), bits)), meta_planes(*meta))
+    return F.concat(history(F.slice(planes, 1, HISTORY_PLANES)), meta_planes(*meta))
 
 
 def byte_row(value: Column) -> Column:

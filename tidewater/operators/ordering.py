@@ -1,7 +1,8 @@
 """Row numbers and prefix sums over a whole table's order, without a task that sees the whole table.
 
-The table is dealt to range partitions, written once, and numbered partition by partition; the partitions' totals (a
-row each) shift them.
+By columns: the table is dealt to range partitions, written once, and numbered partition by partition; the partitions'
+totals (a row each) shift them. By a random number: its leading part names the bucket, so no range has to be sampled
+and nothing is written. As rows come: their numbers are made where they lie.
 """
 
 from __future__ import annotations
@@ -43,3 +44,32 @@ def prefixed(df: DataFrame, order: list[Column], sums: dict[str, Column], number
 
 def numbered(df: DataFrame, order: list[Column], number: str = "row_number") -> DataFrame:
     return prefixed(df, order, {}, number)
+
+
+def shifted(found: DataFrame, totals: DataFrame, part: str, number: str) -> DataFrame:
+    """found with number raised by the rows of all lesser parts; totals is (part, n), a row a part."""
+    bases, base = [], 0
+    for r in totals.orderBy(part).collect():
+        bases.append((r[part], base))
+        base += r["n"]
+    side = found.sparkSession.createDataFrame(bases, f"{part} bigint, _base bigint")
+    return found.join(F.broadcast(side), part).withColumn(number, F.col(number) + F.col("_base")).drop(part, "_base")
+
+
+def shuffled(df: DataFrame, draw: Column, ties: list[Column], number: str, group: Column | None = None, buckets: int | None = None) -> DataFrame:
+    """df with a row number from 1 in the order of group (a whole number), draw (in [0, 1)) and ties."""
+    n = buckets or 4 * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = F.floor(draw * n) if group is None else group.cast("bigint") * n + F.floor(draw * n)
+    rows = df.select("*", draw.alias("_draw"), at.cast("bigint").alias("_bucket"))
+    totals = rows.groupBy("_bucket").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("_bucket").orderBy("_draw", *ties)
+    found = rows.withColumn(number, F.row_number().over(order).cast("bigint"))
+    return shifted(found, totals, "_bucket", number).drop("_draw")
+
+
+def arrivals(df: DataFrame, number: str = "row_number") -> DataFrame:
+    """df, written as it comes, with a row number from 1: by partition and by place in it, whatever the rows hold."""
+    placed = stored(df.withColumn("_at", F.monotonically_increasing_id()), "arrivals")
+    rows = placed.select("*", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    found = rows.withColumn(number, F.col("_place") + F.lit(1))
+    return shifted(found, rows.groupBy("_part").agg(F.count("*").alias("n")), "_part", number).drop("_at", "_place")
