@@ -105,6 +105,50 @@ def test_packs(tmp_path):
         assert f.read()[-4:] == (3).to_bytes(4, "little")
 
 
+def test_a_prefix_is_read_no_further_than_asked(tmp_path):
+    data = os.urandom(3_000_000)
+    stream = io.BytesIO(gzip.compress(data, 1))
+    assert chunks.gunzipped(stream, 1000) == data[:1000] and stream.tell() <= chunks.READ
+    many = gzip.compress(b"ab") + gzip.compress(b"cd")
+    assert chunks.gunzipped(io.BytesIO(many)) == b"abcd" and chunks.gunzipped(io.BytesIO(many), 3) == b"abc"
+    for bad in (b"", b"nonsense", many[:-3]):
+        assert chunks.gunzipped(io.BytesIO(bad)) is None
+
+
+def test_a_job_that_fails_leaves_no_file(spark, tmp_path):
+    chunks.register(spark)
+    path = tmp_path / "out"
+    rows = spark.createDataFrame([("k", i, 0) for i in range(6)], "sort_key string, chunk_index bigint, frame_idx int").repartition(3)
+    rows.write.format("chunks").mode("append").save(str(path))
+    assert sorted(os.listdir(path)) == [f"k_{i}.gz" for i in range(6)]
+    before = {n: (path / n).stat().st_mtime_ns for n in os.listdir(path)}
+    broken = rows.withColumn("frame_idx", F.when(F.col("chunk_index") == 4, F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("frame_idx")))
+    with pytest.raises(Exception):
+        broken.write.format("chunks").mode("append").save(str(path))
+    assert {n: (path / n).stat().st_mtime_ns for n in os.listdir(path)} == before
+
+
+def test_listed_files_are_read_where_their_rows_are(spark, tmp_path):
+    rows = spark.createDataFrame([(k, i, 0) for k in ("a", "b") for i in range(3)], "sort_key string, chunk_index bigint, frame_idx int").withColumn("rule50_count", F.col("chunk_index").cast("short")).withColumn("version", F.lit(6).cast("bigint"))
+    made = chunks.tar_archives(rows, str(tmp_path / "t")).collect()
+    assert sorted((r["sort_key"], r["chunks"]) for r in made) == [("a", 3), ("b", 3)]
+    got = chunks.frames_of(spark.createDataFrame([(f"file:{r['path']}",) for r in made], "path string")).collect()
+    assert sorted((r["sort_key"], r["chunk_index"], r["rule50_count"]) for r in got) == [(k, i, i) for k in ("a", "b") for i in range(3)]
+
+
+def test_pulling_does_not_wait(spark):
+    slow = spark.range(4).repartition(1).select(F.udf(lambda i: (__import__("time").sleep(1), i)[1], "bigint")("id").alias("id"))
+    pull = sinks.Pull(slow, 4)
+    assert pull.maybe() is None and not pull.ended
+    assert len(pull.get()) == 4
+    with pytest.raises(StopIteration):
+        pull.get()
+    assert pull.ended and pull.maybe() is None
+    failing = sinks.Pull(spark.range(3).select(F.raise_error(F.lit("bad"))), 1)
+    with pytest.raises(Exception, match="bad"):
+        failing.get()
+
+
 def test_synthetic_source(spark):
     s = synthetic.sources(spark, 50, 20).collect()
     assert s[7]["sort_key"] == "00000007" and min(r["chunk_count"] for r in s) >= 1

@@ -10,15 +10,19 @@ from __future__ import annotations
 import bz2
 import glob
 import gzip
+import io
 import os
+import shutil
 import struct
 import tarfile
 import zlib
+import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -28,8 +32,8 @@ KEYS = [T.StructField("sort_key", T.StringType()), T.StructField("chunk_index",
 SCHEMA = T.StructType([*KEYS, *frames.FIELDS])
 ARROW = pa.schema([pa.field("sort_key", pa.string()), pa.field("chunk_index", pa.int64()), pa.field("frame_idx", pa.int32()), *frames.ARROW])
 IGNORED = "LICENSE"
-#: Frames of an Arrow batch, about eight kilobytes each.
-BATCH = 512
+#: Frames of an Arrow batch, about eight kilobytes each, and bytes of a file read at a time.
+BATCH, READ = 512, 1 << 16
 
 
 def listed(paths: list[str], recursive: bool = True) -> list[str]:
@@ -50,36 +54,42 @@ def kind_of(path: str) -> str | None:
     return {".gz": "gz", ".tar": "tar", ".bz2": "bz2"}.get(os.path.splitext(path)[1])
 
 
-def gunzipped(data: bytes, most: int | None = None) -> bytes | None:
-    """All or the first bytes of a gzip stream of any number of members; None where it is broken."""
-    out, d = b"", zlib.decompressobj(31)
+def gunzipped(stream: BinaryIO, most: int | None = None) -> bytes | None:
+    """All or the first bytes of a gzip stream of any number of members, read as far as it takes; None where it is broken."""
+    out, d, left = [], zlib.decompressobj(31), most
     try:
-        while data and (most is None or len(out) < most):
-            out += d.decompress(data, 0 if most is None else most - len(out))
-            if not d.eof:
-                return out if most is not None and len(out) >= most else None
-            data, d = d.unused_data, zlib.decompressobj(31)
+        while left is None or left > 0:
+            data = d.unused_data or stream.read(READ)
+            if d.eof:
+                if not data:
+                    break
+                d = zlib.decompressobj(31)
+            elif not data:
+                return None  # it ends inside a member
+            while data and (left is None or left > 0):
+                out.append(d.decompress(data, left or 0))
+                left = None if left is None else left - len(out[-1])
+                data = d.unconsumed_tail
     except zlib.error:
         return None
-    return out or None
+    return b"".join(out) or None
 
 
 def members(path: str, most: int | None = None) -> Iterator[tuple[int, bytes | None]]:
-    """(chunk index, bytes) of each chunk of a file; None for one that can't be read."""
+    """(chunk index, bytes) of each chunk of a file, the first bytes alone if asked; None for one that can't be read."""
     kind = kind_of(path)
     if kind == "gz":
         with open(path, "rb") as f:
-            yield 0, gunzipped(f.read(), most)
+            yield 0, gunzipped(f, most)
     elif kind == "tar":
         index = 0
         with tarfile.open(path, "r:", ignore_zeros=False) as tar:
             for m in tar:
                 if not m.isfile() or os.path.basename(m.name) == IGNORED:
                     continue
-                data = tar.extractfile(m).read()
-                if m.name.endswith(".gz"):
-                    data = gunzipped(data, most)
-                yield index, data[:most] if data else None
+                stream = tar.extractfile(m)
+                data = gunzipped(stream, most) if m.name.endswith(".gz") else stream.read(-1 if most is None else most)
+                yield index, data or None
                 index += 1
     elif kind == "bz2":
         yield from unpacked(path)
@@ -115,7 +125,10 @@ class ChunkReader(DataSourceReader):
         return [Files(files[i : i + self.per]) for i in range(0, len(files), self.per)]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        for path in partition.paths:
+        yield from self.read_files(partition.paths)
+
+    def read_files(self, paths: list[str]) -> Iterator[pa.RecordBatch]:
+        for path in paths:
             key = os.path.splitext(os.path.basename(path))[0]
             try:
                 for index, data in members(path, max(frames.SIZES.values()) if self.first else None):
@@ -142,46 +155,51 @@ class ChunkReader(DataSourceReader):
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, names: list[str]):
+        self.names = names
 
 
 class ChunkWriter(DataSourceWriter):
-    """One <sort_key>_<chunk_index><suffix>.gz a chunk. A task's rows must hold whole chunks, in order of frames."""
+    """One <sort_key>_<chunk_index><suffix>.gz a chunk. A task's rows must hold whole chunks, in order of frames.
+
+    Tasks write into a folder of the job's own, each attempt under its own name; commit moves the files of the attempts
+    that count to their final names and abort removes the folder, so a job that fails leaves and replaces nothing.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.path, self.suffix, self.version = options["path"], options.get("suffix", ""), int(options.get("version", "6"))
+        self.aside = os.path.join(self.path, f".writing-{uuid.uuid4().hex}")
 
     def write(self, rows: Iterator) -> Written:
-        os.makedirs(self.path, exist_ok=True)
-        held: dict[tuple[str, int], list[dict]] = {}
-        done = []
+        folder = os.path.join(self.aside, uuid.uuid4().hex)
+        os.makedirs(folder, exist_ok=True)
+        held: list[dict] = []
+        done, at = [], None
         for r in rows:
             key = (r["sort_key"], r["chunk_index"])
-            if key not in held and held:
-                done += self.flush(held)
-            held.setdefault(key, []).append(r.asDict())
-        return Written(done + self.flush(held))
-
-    def flush(self, held: dict) -> list[str]:
-        paths = []
-        for (key, index), rows in held.items():
-            path = os.path.join(self.path, f"{key}_{index}{self.suffix}.gz")
-            data = gzip.compress(frames.encode(frames.from_rows(sorted(rows, key=lambda r: r["frame_idx"])), self.version), 6, mtime=0)
-            with open(f"{path}.part", "wb") as f:
-                f.write(data)
-            os.replace(f"{path}.part", path)  # a task that runs again writes the same file
-            paths.append(path)
-        held.clear()
-        return paths
+            if held and key != at:
+                done.append(self.flush(folder, at, held))
+                held = []
+            held.append(r.asDict())
+            at = key
+        if held:
+            done.append(self.flush(folder, at, held))
+        return Written(done)
+
+    def flush(self, folder: str, key: tuple[str, int], rows: list[dict]) -> str:
+        name = os.path.join(folder, f"{key[0]}_{key[1]}{self.suffix}.gz")
+        with open(name, "wb") as f:
+            f.write(gzip.compress(frames.encode(frames.from_rows(sorted(rows, key=lambda r: r["frame_idx"])), self.version), 6, mtime=0))
+        return name
 
     def commit(self, messages: list[Written | None]) -> None:
-        pass
+        for m in messages:
+            for name in m.names if m else []:
+                os.replace(name, os.path.join(self.path, os.path.basename(name)))
+        shutil.rmtree(self.aside, ignore_errors=True)
 
     def abort(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            for p in m.paths if m else []:
-                os.path.exists(p) and os.remove(p)
+        shutil.rmtree(self.aside, ignore_errors=True)
 
 
 class ChunkSource(DataSource):
@@ -203,6 +221,40 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ChunkSource)
 
 
+def frames_of(files: DataFrame, version: str = "auto", first: bool = False, corrupt: str = "drop", path: str = "path") -> DataFrame:
+    """The frames of the files that a table lists, each task reading its own rows' files."""
+    options = {"path": "", "version": version, "firstFrameOnly": str(first).lower(), "corrupt": corrupt}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = ChunkReader(options)
+        for batch in batches:
+            yield from reader.read_files([p.removeprefix("file://").removeprefix("file:") for p in batch.column(0).to_pylist() if kind_of(p)])
+
+    return files.select(path).mapInArrow(run, SCHEMA)
+
+
+def tar_archives(frames_: DataFrame, path: str) -> DataFrame:
+    """Writes <sort_key>.tar of one gzipped member a chunk under path, a task a source; gives (sort_key, chunks, path)."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        os.makedirs(path, exist_ok=True)
+        name, aside = os.path.join(path, f"{key[0].as_py()}.tar"), os.path.join(path, f".{uuid.uuid4().hex}")
+        rows, n = table.sort_by([("chunk_index", "ascending"), ("frame_idx", "ascending")]), 0
+        index = rows["chunk_index"].to_numpy()
+        with tarfile.open(aside, "w", format=tarfile.USTAR_FORMAT) as tar:
+            for at in np.flatnonzero(np.diff(index, prepend=-1)):
+                own = rows.slice(at, int(np.searchsorted(index, index[at], "right")) - int(at))
+                data = gzip.compress(frames.encode(frames.from_rows(own.to_pylist()), 6), 1, mtime=0)
+                info = tarfile.TarInfo(f"chunk.{index[at]:08d}.gz")
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+                n += 1
+        os.replace(aside, name)  # a task that runs again writes the same file
+        return pa.table({"sort_key": [key[0].as_py()], "chunks": [n], "path": [name]})
+
+    return frames_.groupBy("sort_key").applyInArrow(run, "sort_key string, chunks bigint, path string")
+
+
 def pack_games(games: list[bytes], path: str, per_pack: int) -> list[str]:
     """Packs of so many games of version 3 records; a rest under one pack joins the last."""
     packs = [games[i : i + per_pack] for i in range(0, len(games), per_pack)]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import queue
+import threading
 from collections.abc import Iterator
 from typing import Any
 
@@ -11,30 +13,66 @@ from pyspark.sql import functions as F
 
 
 class Pull:
-    """Batches of a DataFrame one by one: ``get`` blocks and raises StopIteration at the end, ``maybe`` gives None there."""
-
-    def __init__(self, df: DataFrame, batch_size: int, keep_rest: bool = False):
-        self.rows, self.size, self.keep_rest = df.toLocalIterator(prefetchPartitions=True), batch_size, keep_rest
+    """Batches of a DataFrame one by one, fetched ahead by a thread: ``get`` blocks and raises StopIteration at the end,
+    ``maybe`` returns at once, with None where no batch is ready or none is left (``ended`` tells which)."""
+
+    def __init__(self, df: DataFrame, batch_size: int, keep_rest: bool = False, ahead: int = 2):
+        self.ready: queue.Queue = queue.Queue(ahead)
+        self.ended = self.closed = False
+        threading.Thread(target=self.fetch, args=(df, batch_size, keep_rest), daemon=True).start()
+
+    def offer(self, item: list[Row] | BaseException | None) -> None:
+        while not self.closed:
+            try:
+                self.ready.put(item, timeout=0.1)
+            except queue.Full:
+                continue
+            return
+
+    def fetch(self, df: DataFrame, size: int, keep_rest: bool) -> None:
+        try:
+            held = []
+            for row in df.toLocalIterator(prefetchPartitions=True):
+                held.append(row)
+                if len(held) == size:
+                    self.offer(held)
+                    held = []
+                if self.closed:
+                    return
+            if held and keep_rest:
+                self.offer(held)
+            self.offer(None)
+        except BaseException as e:  # it is raised where the batches are asked for
+            self.offer(e)
+
+    def taken(self, item: list[Row] | BaseException | None) -> list[Row] | None:
+        if isinstance(item, BaseException):
+            raise item
+        self.ended = item is None
+        return item
 
     def get(self) -> list[Row]:
-        out = []
-        for row in self.rows:
-            out.append(row)
-            if len(out) == self.size:
-                return out
-        if out and self.keep_rest:
-            return out
-        raise StopIteration
+        found = None if self.ended else self.taken(self.ready.get())
+        if found is None:
+            raise StopIteration
+        return found
 
     def maybe(self) -> list[Row] | None:
         try:
-            return self.get()
-        except StopIteration:
+            return None if self.ended else self.taken(self.ready.get_nowait())
+        except queue.Empty:
             return None
 
+    def close(self) -> None:
+        self.closed = self.ended = True
+
     def __iter__(self) -> Iterator[list[Row]]:
-        while (b := self.maybe()) is not None:
-            yield b
+        while not self.ended:
+            try:
+                found = self.get()
+            except StopIteration:
+                return
+            yield found
 
 
 def write_csv(df: DataFrame, path: str, header: bool) -> None:
