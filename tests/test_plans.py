@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.operators import rescoring
 from tidewater.plans import spec
 from tidewater.sources import sinks
 from tidewater.streaming import anchors, windows
@@ -79,11 +80,113 @@ def test_unpacking_by_count_and_prefetch(spark):
     ]
     out = spec.build(spark, {"stages": stages})
     n = out["chunks"].select("global_index").distinct().count()
-    assert out["unpack"].count() == n and out["unpack.rest"].count() == 2 * n
+    assert out["unpack"].count() == n and out["unpack.rest"].count() == 3 * n
     assert out["shuffle"].count() == n
     assert {r["next_use"] for r in out["unpack.rest"].collect()} == {1}
 
 
+SOURCE = {"name": "source", "type": "synthetic_source", "sources": 3, "mean_chunks": 4}
+
+
+def test_frames_that_come_twice_are_batched_once_each(spark):
+    stages = [
+        SOURCE,
+        {"name": "twice", "type": "join_positions", "inputs": ["source", "source"]},
+        {"name": "batches", "type": "tensor_generator", "inputs": ["twice"], "batch_size": 4},
+    ]
+    out = spec.build(spark, {"stages": stages})
+    n = out["twice"].count()
+    got = out["batches"].select("batch_id", "place").collect()
+    assert sorted(tuple(r) for r in got) == [(i // 4, i % 4) for i in range(n // 4 * 4)]
+
+
+def test_batches_keep_the_order_of_the_sampler(spark):
+    stages = [
+        SOURCE,
+        {"name": "sampler", "type": "shuffling_frame_sampler", "inputs": ["source"], "reservoir_size_per_thread": 50},
+        {"name": "batches", "type": "tensor_generator", "inputs": ["sampler"], "batch_size": 4},
+    ]
+    out = spec.build(spark, {"stages": stages})
+    first = lambda df, planes: [tuple(r[0]) for r in df.select(planes).collect()]
+    came = first(out["sampler"], F.slice("planes", 1, 3))
+    batched = first(out["batches"].orderBy("batch_id", "place"), F.slice("inputs", 1, 192))
+    number = lambda bits: tuple(sum(int(bits[64 * p + s]) << (s ^ 7) for s in range(64)) for p in range(3))
+    assert [number(b) for b in batched] == came[: len(came) // 4 * 4] and came != sorted(came)
+
+
+def test_epochs_by_rate_and_by_weight(spark):
+    stages = [
+        SOURCE,
+        {"name": "pool", "type": "shuffling_chunk_pool", "inputs": ["source"], "chunk_pool_size": 100, "epochs": 4},
+        {"name": "half", "type": "chunk_unpacker", "inputs": ["pool"], "position_sampling_rate": 0.5},
+        {"name": "one", "type": "chunk_unpacker", "inputs": ["pool"], "position_count": 1, "seed": "one"},
+    ]
+    out = spec.build(spark, {"stages": stages})
+    n, chunks_ = out["source"].count(), out["source"].select("sort_key", "chunk_index").distinct().count()
+    by_use = {r["use_count"]: r["count"] for r in out["half"].groupBy("use_count").count().collect()}
+    assert by_use[0] + by_use[1] == n == by_use[2] + by_use[3] and all(0.4 * n < x < 0.6 * n for x in by_use.values())
+    assert out["half"].where("use_count < 2").dropDuplicates(["global_index", "frame_idx"]).count() == n
+    assert {r["count"] for r in out["one"].groupBy("use_count").count().collect()} == {chunks_}
+    with pytest.raises(spec.BadSpec):
+        spec.checked({"stages": [*stages[:2], {**stages[3], "position_sampling": {"colour": 1}}]})
+
+
+def test_the_pool_caches_positions(spark):
+    stages = [
+        SOURCE,
+        {"name": "pool", "type": "shuffling_chunk_pool", "inputs": ["source", "unpack.ahead"], "chunk_pool_size": 100, "epochs": 5, "cachehit_output": "hits", "position_cache_size": 250},
+        {"name": "unpack", "type": "chunk_unpacker", "inputs": ["pool"], "position_count": 1, "prefetch_count": 4, "prefetch_output": "ahead"},
+        {"name": "all", "type": "join_positions", "inputs": ["pool.hits", "unpack"]},
+    ]
+    out = spec.build(spark, {"stages": stages})
+    plan = out["pool.cache"].collect()
+    chunks_ = {r["global_index"] for r in plan}
+    assert len(plan) == 5 * len(chunks_)
+    cached, carried = {g: 0 for g in chunks_}, 0.0
+    order = {(r["global_index"], r["use_count"]): r for r in plan}
+    for u in range(5):
+        for g in chunks_:
+            r = order[g, u]
+            assert r["status"] == ("hit" if cached[g] else "miss")
+            cached[g] += r["newly_cached"] - (r["status"] == "hit")
+            assert r["status"] == "hit" or (r["newly_cached"] in (2, 3) and r["dropped"] == 4 - r["newly_cached"])  # 2.5 a miss
+    hits, taken = out["pool.hits"].count(), out["unpack"].count()
+    assert hits == sum(r["status"] == "hit" for r in plan) > 0 and hits + taken == len(plan)
+    plain = spec.build(spark, {"stages": [SOURCE, {**stages[1], "inputs": ["source"], "cachehit_output": None}, {"name": "unpack", "type": "chunk_unpacker", "inputs": ["pool"], "position_count": 1}]})
+    keys = ("global_index", "use_count", "frame_idx")
+    assert sorted(tuple(r) for r in out["all"].select(*keys).collect()) == sorted(tuple(r) for r in plain["unpack"].select(*keys).collect())  # a cached position is the one that the use would have come to
+    with pytest.raises(spec.BadSpec):
+        spec.checked({"stages": [SOURCE, {**stages[1], "inputs": ["source", "unpack"]}, stages[2]]})
+
+
+def test_queues_that_overflow(spark):
+    stages = [SOURCE, {"name": "a", "type": "join_positions", "inputs": ["source"], "overflow_behavior": "DROP_NEW", "queue_capacity": 5}, {"name": "b", "type": "join_positions", "inputs": ["source"], "overflow_behavior": "KEEP_NEWEST", "queue_capacity": 7}]
+    out = spec.build(spark, {"stages": stages})
+    rows = [(r["sort_key"], r["chunk_index"], r["frame_idx"]) for r in out["source"].collect()]
+    of = lambda name: [(r["sort_key"], r["chunk_index"], r["frame_idx"]) for r in out[name].collect()]
+    assert of("a") == rows[:5] and of("b") == rows[-7:]
+
+
+def test_a_rescorer_by_name(spark):
+    def turned(table, options):
+        if table["chunk_index"][0].as_py() == 0:
+            raise ValueError("no table holds this game")
+        q = [x * options["dist_temp"] for x in table["root_q"].to_pylist()]
+        return table.set_column(table.schema.get_field_index("root_q"), "root_q", [q])
+
+    rescoring.RESCORERS["turned"] = turned
+    try:
+        frames = spark.createDataFrame([("k", c, i, 0.5, 0.25, 7) for c in range(2) for i in range(3)], "sort_key string, chunk_index bigint, frame_idx int, root_q double, root_d double, played_idx int")
+        (out,) = spec.STAGES["chunk_rescorer"](spark, spec.options_of({"name": "r", "type": "chunk_rescorer", "inputs": [], "rescorer": "turned", "dist_temp": 0.5}), [frames]).values()
+        rows = out.orderBy("frame_idx").collect()
+        assert [(r["chunk_index"], r["root_q"]) for r in rows] == [(1, 0.25)] * 3 and rows[2]["q_st"] == pytest.approx(0.25) and rows[0]["opp_played_idx"] == 7
+    finally:
+        del rescoring.RESCORERS["turned"]
+    for bad in ({"dist_temp": 0.5}, {"syzygy_paths": "/t"}, {"rescorer": "nobody"}):
+        with pytest.raises(spec.BadSpec):
+            spec.checked({"stages": [SOURCE, {"name": "r", "type": "chunk_rescorer", "inputs": ["source"], **bad}]})
+
+
 def test_graph():
     text = sinks.dot(GOOD)
     assert '"split" -> "pool" [label="train"];' in text and text.startswith("digraph")
@@ -102,9 +205,13 @@ def test_files_are_followed_once(spark, tmp_path):
     assert seen == [("initial", ["0"]), ("new", ["a"]), ("new", ["b"])]
     with pytest.raises(ValueError):
         windows.two_phases(initial.where("false"), stream(), sink, str(tmp_path / "c2"))
-    anchor = anchors.Anchor()
+    anchor = anchors.Anchor(spark, f"file://{tmp_path}/anchor")
     anchor.follow(stream(), str(tmp_path / "c3")).awaitTermination()
     assert (anchor.chunks, anchor.newest) == (7, "b")
+    write(("c", 5))
+    again = anchors.Anchor(spark, f"file://{tmp_path}/anchor")
+    again.follow(stream(), str(tmp_path / "c3")).awaitTermination()
+    assert (again.chunks, again.newest) == (12, "c")
 
 
 def test_metric_windows_of_event_time(spark, tmp_path):
