@@ -5,7 +5,7 @@ import math
 import pytest
 
 from tests.conftest import SF
-from tidewater.plans import catalogue
+from tidewater.plans import archives, catalogue  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

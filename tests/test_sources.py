@@ -308,3 +308,22 @@ def test_chunks_are_shuffled_whole(spark):
     got = [(r["p"], r["c"], r["frame_idx"]) for r in out.select(F.spark_partition_id().alias("p"), "*").collect()]
     assert sorted(x[1:] for x in got) == sorted((c, i) for c in range(20) for i in range(3))
     assert all(got[k][2] == k % 3 and got[k][1] == got[k - k % 3][1] for k in range(len(got)))
+
+
+def test_weight_scripts(spark):
+    net = lambda *v: spark.createDataFrame([("body.a", [v[0]]), ("head.b", [v[1]])], "path string, values array<double>")
+    out = codecs.script({"a": net(1.0, 2.0), "b": net(4.0, 8.0)}, "c = -(a - b) / 2 + a * 3\nc['head'] = b['head']")
+    assert {r["path"]: r["values"] for r in out["c"].collect()} == {"body.a": [4.5], "head.b": [8.0]}
+    for bad in ("c = d", "import os", "c = a * b", "c = 1 + 2", "c = a ** 2", "c = open('x')", "a['x'] = b['y']", "a.b = a", "c = a if 1 else b"):
+        with pytest.raises(codecs.BadScript):
+            codecs.script({"a": net(1.0, 2.0), "b": net(1.0, 2.0)}, bad)
+
+
+def test_older_records_are_encoded_as_they_are_read():
+    f = made(4)
+    for version in (3, 4, 5, 6, 7):
+        f["version"] = version
+        data = frames.encode(f, version)
+        assert len(data) == 4 * frames.SIZES[version]
+        back = frames.decode(data)
+        assert np.array_equal(back["planes"], f["planes"]) and set(back["version"]) == {version}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,6 +55,64 @@ def grafted(net: DataFrame, donor: DataFrame, prefixes: list[str], path: str = "
     return net.join(donor.select(path, F.col(values).alias("_new")), path, "left").withColumn(values, F.when(chosen & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col(values))).drop("_new")
 
 
+class BadScript(ValueError):
+    """A script with more in it than arithmetic of nets."""
+
+
+def script(nets: dict[str, DataFrame], source: str) -> dict[str, DataFrame]:
+    """The nets that the lines of a script name, after the last; nothing of it is executed.
+
+    Lines are ``name = expression``, of nets' sums, differences and products or quotients with numbers, or
+    ``name["prefix"] = other["prefix"]``, which grafts the layers under a prefix.
+    """
+    known = dict(nets)
+
+    def net(name: str) -> DataFrame:
+        if name not in known:
+            raise BadScript(f"no net {name}")
+        return known[name]
+
+    def value(node: ast.expr) -> DataFrame | float:
+        if isinstance(node, ast.Constant) and isinstance(node.value, int | float):
+            return float(node.value)
+        if isinstance(node, ast.Name):
+            return net(node.id)
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
+            found = value(node.operand)
+            return -found if isinstance(found, float) else scaled(found, -1.0)
+        if isinstance(node, ast.BinOp):
+            a, b = value(node.left), value(node.right)
+            plain = isinstance(a, float), isinstance(b, float)
+            if isinstance(node.op, ast.Add | ast.Sub) and plain == (False, False):
+                return combined(a, b, 1.0, 1.0 if isinstance(node.op, ast.Add) else -1.0)
+            if isinstance(node.op, ast.Mult) and any(plain):
+                return a * b if all(plain) else scaled(b, a) if plain[0] else scaled(a, b)
+            if isinstance(node.op, ast.Div) and plain[1]:
+                return a / b if plain[0] else scaled(a, 1.0 / b)
+        raise BadScript(f"line {node.lineno} is no arithmetic of nets")
+
+    def place(node: ast.expr) -> tuple[str, str]:
+        if isinstance(node, ast.Subscript) and isinstance(node.value, ast.Name) and isinstance(node.slice, ast.Constant) and isinstance(node.slice.value, str):
+            return node.value.id, node.slice.value
+        raise BadScript(f"line {node.lineno} grafts no layers")
+
+    for line in ast.parse(source).body:
+        if not isinstance(line, ast.Assign) or len(line.targets) != 1:
+            raise BadScript(f"line {line.lineno} is no assignment")
+        target = line.targets[0]
+        if isinstance(target, ast.Name):
+            found = value(line.value)
+            if isinstance(found, float):
+                raise BadScript(f"line {line.lineno} gives a number")
+            known[target.id] = found
+        else:
+            (name, prefix), (donor, same) = place(target), place(line.value)
+            if prefix != same:
+                raise BadScript(f"line {line.lineno} grafts {same} as {prefix}")
+            known[name] = grafted(net(name), net(donor), [prefix])
+    return known
+
+
 def transposed(values: Column, rows: int, columns: int) -> Column:
     """A row-major rows by columns matrix from its transpose's row-major values."""
     return F.transform(F.sequence(F.lit(0), F.lit(rows * columns - 1)), lambda i: F.get(values, (i % columns) * rows + F.floor(i / columns).cast("int")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 #: What stands for a null key.
-NULL = "\x00"
+NULL = "<null>"
 
 
 def digits(n: int, *keys: Column | str | int) -> Column:

@@ -273,11 +273,18 @@ def q_unpack_prefetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.unionByName(offered.select("chunk", "frame_idx", F.lit(False).alias("emitted"), "next_use"))
 
 
-@query("SELECT greatest(0, count(*) - 100 + 1) AS emitted FROM events")
+@query("SELECT (user_id % 8)::INTEGER AS reservoir, greatest(0, count(*) - 10 + 1) AS emitted, true AS known FROM events GROUP BY 1")
 def q_reservoir_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A single reservoir, so that the count law can be stated; several run side by side otherwise."""
-    one = table(spark, sf_dir, "events").select("event_id").coalesce(1)
-    return sampling.reservoir_shuffle(one, 100, 1).agg(F.count("*").alias("emitted"))
+    """Eight reservoirs side by side: of each, how many rows leave, and that they are rows that came."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id").repartitionById(8, (F.col("user_id") % 8).cast("int"))
+    out = sampling.reservoir_shuffle(rows, 10, 1)
+    return out.groupBy((F.col("user_id") % 8).cast("int").alias("reservoir")).agg(F.count("*").alias("emitted"), (F.count_distinct("event_id") == F.count("*")).alias("known"))
+
+
+@query("SELECT event_id FROM events")
+def q_reservoir_drained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reservoirs that are emptied at the end lose no row."""
+    return sampling.reservoir_shuffle(table(spark, sf_dir, "events").select("event_id").repartition(4), 50, 1, drain=True)
 
 
 @query(f"WITH {CHUNKS} SELECT global_index, row_number() OVER (ORDER BY {sql_uniform(repr(SEED), '3', 'global_index')}, global_index) AS position FROM chunks")
@@ -421,15 +428,23 @@ def tick_statistics() -> list[Column]:
     return stats.statistics(F.col("value"), F.col("tick"))
 
 
-@query(f"""WITH {TICKS}, b AS (SELECT i::INTEGER AS bucket, (777 // (1::BIGINT << i)) * (1::BIGINT << i) AS e, 1::BIGINT << i AS w FROM range(10) t(i))
+@query(f"""WITH {TICKS}, n AS (SELECT max(tick) AS now FROM ticks), b AS (SELECT i::INTEGER AS bucket, (now // (1::BIGINT << i)) * (1::BIGINT << i) AS e, 1::BIGINT << i AS w FROM n, range(40) t(i) WHERE 1::BIGINT << i <= now)
     SELECT bucket, e - w + 1 AS first_tick, e AS last_tick, min(value) AS min, max(value) AS max, round(sum(value), 4) AS sum, count(value) AS count, max_by(value, tick) AS latest FROM ticks JOIN b ON tick > e - w AND tick <= e GROUP BY 1, 2, 3""")
 def q_exp_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exponential.buckets(ticks(spark, sf_dir), 777, "tick", tick_statistics()).withColumn("sum", rounded("sum", 4))
+    """Every bucket after the table's last tick."""
+    rows = ticks(spark, sf_dir)
+    return exponential.buckets(rows, rows.agg(F.max("tick")).first()[0] or 0, "tick", tick_statistics()).withColumn("sum", rounded("sum", 4))
 
 
-@query(f"WITH {TICKS} SELECT min(value) AS min, max(value) AS max, round(sum(value), 4) AS sum, count(value) AS count, max_by(value, tick) AS latest FROM ticks WHERE tick > 777 - {exponential.ending_now_ticks(777, 100)} AND tick <= 777")
+# Bits of the count of ticks below the least power of two over what is asked for; if these are too few, that power as well.
+@query(f"""WITH {TICKS}, n AS (SELECT max(tick) AS now, max(tick) // 3 AS asked FROM ticks), p AS (SELECT now, asked, 1::BIGINT << (floor(log2(asked))::INTEGER + 1) AS power FROM n),
+    c AS (SELECT now, now % power + CASE WHEN now % power < asked AND power <= now THEN power ELSE 0 END AS covered FROM p)
+    SELECT min(value) AS min, max(value) AS max, round(sum(value), 4) AS sum, count(value) AS count, max_by(value, tick) AS latest FROM ticks, c WHERE tick > now - covered AND tick <= now""")
 def q_exp_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exponential.ending_now(ticks(spark, sf_dir), 777, 100, "tick", tick_statistics()).withColumn("sum", rounded("sum", 4))
+    """An aggregate over a third of all ticks at least, ending with the table's last."""
+    rows = ticks(spark, sf_dir)
+    now = rows.agg(F.max("tick")).first()[0] or 0
+    return exponential.ending_now(rows, now, now // 3, "tick", tick_statistics()).withColumn("sum", rounded("sum", 4))
 
 
 @query(f"WITH {TICKS} SELECT (tick - 1) >> 5 AS block, event_type, count(*) AS n, round(sum(value), 4) AS sum FROM ticks GROUP BY 1, 2")
@@ -455,11 +470,9 @@ def q_overflow_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {MONTHS}, s AS (SELECT *, row_number() OVER (ORDER BY sort_key) AS n FROM months),
     g AS (SELECT 0::BIGINT AS n, 180::BIGINT AS to_wait UNION ALL SELECT s.n, greatest(g.to_wait + 180 - s.chunk_count, 90) FROM g JOIN s ON s.n = g.n + 1) SELECT n, to_wait FROM g WHERE n > 0""")
 def q_epoch_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fold over the months' counts in order: a value for each epoch depends on the one before, so an ordered array is folded."""
-    counts = months(spark, sf_dir).agg(F.transform(F.sort_array(F.collect_list(F.struct("sort_key", "chunk_count"))), lambda s: s["chunk_count"]).alias("xs"))
-    step = lambda acc, x: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1) + F.lit(180) - x, F.lit(90).cast("bigint"))))
-    folded = counts.select(F.posexplode(F.aggregate("xs", F.array(F.lit(180).cast("bigint")), step)).alias("n", "to_wait"))
-    return folded.where("n > 0").select(F.col("n").cast("bigint").alias("n"), "to_wait")
+    """The loop over epochs, one for each month: what an epoch used sets what the next one waits for."""
+    used = [r["chunk_count"] for r in months(spark, sf_dir).orderBy("sort_key").collect()]  # a row a month
+    return spark.createDataFrame(list(enumerate(schedule.gate(180, 180, used), 1)), "n bigint, to_wait bigint")
 
 
 @query("SELECT p_partkey FROM part WHERE p_size = 7 AND p_brand = (SELECT min(p_brand) FROM part)")
@@ -481,8 +494,8 @@ def q_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, list_sum(list_transform(range(64), lambda s: ((o_orderkey * 2654435761) >> xor(s, 7)) & 1))::BIGINT AS ones, list_sum(list_transform(range(64), lambda s: s * (((o_orderkey * 2654435761) >> xor(s, 7)) & 1)))::BIGINT AS places FROM orders")
 def q_plane_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "orders").select("o_orderkey", tensors.bits(F.col("o_orderkey") * F.lit(2654435761)).alias("b"))
-    places = F.aggregate(F.transform("b", lambda x, i: x.cast("bigint") * i), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return b.select("o_orderkey", F.aggregate(F.transform("b", lambda x: x.cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("ones"), places.alias("places"))
+    flat = b.select("o_orderkey", F.posexplode("b").alias("s", "x"))
+    return flat.groupBy("o_orderkey").agg(F.sum(F.col("x").cast("bigint")).alias("ones"), F.sum(F.col("x").cast("bigint") * F.col("s")).alias("places"))
 
 
 @query("""SELECT event_id, 512::INTEGER AS n, round(64 * (k % 2 + k // 2 % 2 + k // 4 % 2 + k // 8 % 2 + k // 16 % 2 + k / 99.0::DOUBLE + 1), 4) AS total
@@ -544,22 +557,22 @@ def q_whole_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", files.whole_records(F.col("n_chars"), 4).alias("whole"))
 
 
-# L, M: losses and weights over embeddings' first elements.
-HEADS = """heads AS (SELECT vec_id, label, list_transform(list_slice(embedding, 1, 8), lambda x: (x * 10)::DOUBLE) AS logits,
-    list_transform(list_slice(embedding, 9, 16), lambda x: CASE WHEN x::DOUBLE < -0.15 THEN -1.0::DOUBLE ELSE abs(x::DOUBLE) END) AS raw FROM embeddings),
+# L, M: losses and weights over embeddings: the first half are logits, the second targets.
+HEADS = """heads AS (SELECT vec_id, label, list_transform(list_slice(embedding, 1, 32), lambda x: (x * 10)::DOUBLE) AS logits,
+    list_transform(list_slice(embedding, 33, 64), lambda x: CASE WHEN x::DOUBLE < -0.15 THEN -1.0::DOUBLE ELSE abs(x::DOUBLE) END) AS raw FROM embeddings),
     targets AS (SELECT *, list_transform(raw, lambda x: CASE WHEN x < 0 THEN -1.0::DOUBLE ELSE x / list_sum(list_transform(raw, lambda y: greatest(y, 0.0::DOUBLE))) END) AS t FROM heads)"""
 
 
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = lambda x: x.cast("double")
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 8), lambda x: d(x * F.lit(10).cast("float"))).alias("logits"), F.transform(F.slice("embedding", 9, 8), lambda x: F.when(d(x) < -0.15, -1.0).otherwise(F.abs(d(x)))).alias("raw"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 32), lambda x: d(x * F.lit(10).cast("float"))).alias("logits"), F.transform(F.slice("embedding", 33, 32), lambda x: F.when(d(x) < -0.15, -1.0).otherwise(F.abs(d(x)))).alias("raw"))
     whole = tensors.total(losses.legal(F.col("raw")))
     return rows.withColumn("t", F.transform("raw", lambda x: F.when(x < 0, -1.0).otherwise(x / whole)))
 
 
 LSE = "ln(list_sum(list_transform(list_filter(list_zip(logits, t), lambda p: p[2] >= 0), lambda p: exp(p[1]))))"
 CE = f"list_sum(list_transform(list_filter(list_zip(logits, t), lambda p: p[2] > 0), lambda p: p[2] * ({LSE} - p[1])))"
-#: WDL logits are the first three of the eight.
+#: WDL logits are the first three.
 Q_HAT = "((exp(logits[1]) - exp(logits[3])) / (exp(logits[1]) + exp(logits[2]) + exp(logits[3])))"
 
 
@@ -605,10 +618,10 @@ def q_value_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads(spark, sf_dir).select("vec_id", F.round(losses.value_error(F.abs(F.get("logits", F.lit(4))), wdl_logits(), F.get("logits", F.lit(3)) / 10), 5).alias("loss"))
 
 
-@query(f"WITH {HEADS}, b AS (SELECT *, greatest(0, least(7, floor((logits[4] / 10 + 1) / 2 * 8)))::INTEGER AS bucket FROM heads) SELECT vec_id, bucket, round(ln(list_sum(list_transform(logits, lambda x: exp(x)))) - logits[bucket + 1], 5) AS loss FROM b")
+@query(f"WITH {HEADS}, b AS (SELECT *, greatest(0, least(31, floor((logits[4] / 10 + 1) / 2 * 32)))::INTEGER AS bucket FROM heads) SELECT vec_id, bucket, round(ln(list_sum(list_transform(logits, lambda x: exp(x)))) - logits[bucket + 1], 5) AS loss FROM b")
 def q_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.get("logits", F.lit(3)) / 10
-    return heads(spark, sf_dir).select("vec_id", losses.q_bucket(q, 8).alias("bucket"), F.round(losses.categorical(F.col("logits"), q, 8), 5).alias("loss"))
+    return heads(spark, sf_dir).select("vec_id", losses.q_bucket(q, 32).alias("bucket"), F.round(losses.categorical(F.col("logits"), q, 32), 5).alias("loss"))
 
 
 @query(f"""WITH {HEADS}, m AS (SELECT *, list_transform(list_zip(logits, t), lambda p: CASE WHEN p[2] >= 0 THEN p[1] ELSE -1e9 END) AS ml FROM targets)
@@ -687,13 +700,13 @@ def q_start_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", *[F.round(F.get("p", F.lit(i)).cast("double"), 6).alias(n) for i, n in enumerate(("p0", "p20", "p63"))])
 
 
-@query("""WITH e AS (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
-    SELECT event_id, round(CASE WHEN before IS NULL THEN value ELSE 0.99 * value + 0.01 * before END, 6) AS smoothed FROM e""")
+@query(f"""WITH RECURSIVE {FRAMES}, s AS (SELECT chunk, frame_idx, event_id, value AS a FROM frames WHERE frame_idx = 0
+    UNION ALL SELECT f.chunk, f.frame_idx, f.event_id, 0.99 * f.value + 0.01 * s.a FROM s JOIN frames f ON f.chunk = s.chunk AND f.frame_idx = s.frame_idx + 1)
+    SELECT event_id, round(a, 6) AS smoothed FROM s""")
 def q_smoothed_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An average of a value and the one before that favours the new one."""
-    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
-    out = F.when(before.isNull(), F.col("value")).otherwise(F.lit(0.99) * F.col("value") + F.lit(0.01) * before)
-    return table(spark, sf_dir, "events").select("event_id", rounded(out).alias("smoothed"))
+    """A running average that weighs each new value by 0.99."""
+    rows = frames(spark, sf_dir).select("event_id", "chunk", "frame_idx", "value")
+    return rescoring.smoothed(rows, "chunk", "frame_idx", "value").select("event_id", rounded("smoothed").alias("smoothed"))
 
 
 @query(f"WITH {FRAMES} SELECT chunk, round(avg(abs(best_q - coalesce(nullif(orig_q, 'NaN'::DOUBLE), 0))), 6) AS error, round(avg(0.75 * best_q + 0.25 * d), 6) + 0 AS mixed FROM frames GROUP BY chunk")

@@ -23,6 +23,7 @@ from typing import BinaryIO
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -255,6 +256,35 @@ def tar_archives(frames_: DataFrame, path: str) -> DataFrame:
     return frames_.groupBy("sort_key").applyInArrow(run, "sort_key string, chunks bigint, path string")
 
 
+def pack_bytes(games: list[bytes]) -> bytes:
+    """A pack of games of version 3 records, before compression: the records, the games' plies and their number."""
+    plies = np.asarray([len(g) // frames.SIZES[3] for g in games], "<i2")
+    return b"".join(games) + plies.tobytes() + struct.pack("<I", len(games))
+
+
+def packed(games: DataFrame, path: str, name: str, per_pack: int, number: str = "row_number") -> DataFrame:
+    """Writes packs of so many games under path, a task a pack; gives (pack, games, path).
+
+    games has a row a game, numbered from 1: its plies, and values of frame fields that all its records share. A rest
+    under one pack joins the last.
+    """
+    last = max(games.count() // per_pack - 1, 0)
+    fields = [c for c in games.columns if c in {n for n, _, _ in frames.COLUMNS}]
+    keyed = games.withColumn("pack", F.least(F.expr(f"({number} - 1) div {per_pack}"), F.lit(last)))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        os.makedirs(path, exist_ok=True)
+        found = os.path.join(path, f"{name}_{key[0].as_py():05d}.bz2")
+        data = [frames.encode(frames.from_rows([{c: r[c] for c in fields} | {"version": 3}] * r["plies"]), 3) for r in table.sort_by(number).to_pylist()]
+        aside = os.path.join(path, f".{uuid.uuid4().hex}")
+        with bz2.open(aside, "wb") as f:
+            f.write(pack_bytes(data))
+        os.replace(aside, found)  # a task that runs again writes the same file
+        return pa.table({"pack": [key[0].as_py()], "games": [len(data)], "path": [found]})
+
+    return keyed.groupBy("pack").applyInArrow(run, "pack bigint, games bigint, path string")
+
+
 def pack_games(games: list[bytes], path: str, per_pack: int) -> list[str]:
     """Packs of so many games of version 3 records; a rest under one pack joins the last."""
     packs = [games[i : i + per_pack] for i in range(0, len(games), per_pack)]
@@ -262,9 +292,8 @@ def pack_games(games: list[bytes], path: str, per_pack: int) -> list[str]:
         packs[-2:] = [packs[-2] + packs[-1]]
     out = []
     for i, pack in enumerate(packs):
-        plies = np.asarray([len(g) // frames.SIZES[3] for g in pack], "<i2")
         name = f"{path}_{i:05d}.bz2"
         with bz2.open(name, "wb") as f:
-            f.write(b"".join(pack) + plies.tobytes() + struct.pack("<I", len(pack)))
+            f.write(pack_bytes(pack))
         out.append(name)
     return out

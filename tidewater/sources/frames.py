@@ -62,10 +62,13 @@ def decode(data: bytes, version: int | str = "auto") -> np.ndarray:
 
 
 def encode(frames: np.ndarray, version: int = 6) -> bytes:
-    """Records of version 6 or 7."""
+    """Records of a version; older ones lack the last fields, and below five the input format."""
     if version == 7:
         return frames.astype(V7).tobytes()
-    return np.ascontiguousarray(frames.view(np.uint8).reshape(len(frames), -1)[:, : V6.itemsize]).tobytes()
+    raw = np.ascontiguousarray(frames).view(np.uint8).reshape(len(frames), -1)
+    if version >= 5:
+        return np.ascontiguousarray(raw[:, : SIZES[version]]).tobytes()
+    return np.hstack([raw[:, :4], raw[:, 8 : SIZES[version] + 4]]).tobytes()
 
 
 def arrays(frames: np.ndarray) -> list[pa.Array]:
