@@ -6,8 +6,14 @@ the least number of ticks, at least n, that whole buckets can make up.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Seconds of a tick.
 TICK = 2.0**-6
@@ -51,3 +57,33 @@ def ending_now(ticks: DataFrame, now: int, n: int, tick: str, aggregates: list[C
 def blocks(ticks: DataFrame, i: int, tick: str, keys: list[str], aggregates: list[Column]) -> DataFrame:
     """(block, keys, aggregates): all aligned blocks of 2**i ticks, block = (tick - 1) >> i."""
     return ticks.groupBy(F.shiftright(F.col(tick) - F.lit(1), i).alias("block"), *keys).agg(*aggregates)
+
+
+@dataclass(frozen=True)
+class Monoid:
+    """An aggregate of the user's own: an empty state, and a state of an older and a newer one. It need not commute."""
+
+    clear: Callable[[], Any]
+    update: Callable[[Any, Any], Any]
+
+    def fold(self, states: list) -> Any:
+        out = self.clear()
+        for s in states:
+            out = self.update(out, s)
+        return out
+
+
+def folded(ticks: DataFrame, tick: str, keys: list[str], state: str, monoid: Monoid, i: int = 12) -> DataFrame:
+    """(keys, state): each key's states folded in the order of tick, blocks of 2**i ticks first, so that no task holds a key's rows."""
+    kind = ticks.schema[state].dataType
+    own = [ticks.schema[k] for k in keys]
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        out = monoid.fold(table.sort_by("_at")[state].to_pylist())
+        values = [*(k.as_py() for k in key[: len(keys)]), min(table["_at"].to_pylist()), out]
+        return pa.table([pa.array([v], f.type) for v, f in zip(values, [*(table.schema.field(k) for k in keys), table.schema.field("_at"), table.schema.field(state)], strict=True)], [*keys, "_at", state])
+
+    schema = T.StructType([*own, T.StructField("_at", T.LongType()), T.StructField(state, kind)])
+    rows = ticks.select(*keys, F.col(tick).cast("bigint").alias("_at"), state, F.shiftright(F.col(tick) - F.lit(1), i).alias("_block"))
+    parts = rows.groupBy(*keys, "_block").applyInArrow(run, schema)
+    return parts.groupBy(*keys).applyInArrow(run, schema).drop("_at")

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import codecs, moves, rng, tensors, text
 from tidewater.functions.rng import sql_uniform
-from tidewater.operators import joins, rescoring, schedule, stats
+from tidewater.operators import exponential, joins, rescoring, schedule, stats
 from tidewater.operators.ordering import arrivals, numbered
-from tidewater.plans import spec
+from tidewater.plans import control, spec
 from tidewater.plans.catalogue import COORDINATES, MONTHS, SEED, cells, months, query, rounded, table
 from tidewater.sources import chunks, files, sinks, synthetic
 from tidewater.storage import new_path
@@ -346,6 +346,37 @@ def q_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.where(F.col("batch") == last).select("event_type", F.expr("unix_micros(window.start) div 4096000000").alias("block"), "n", rounded("total", 4).alias("total"))
 
 
+@query(f"""WITH {MONTHS} SELECT 'new' AS stage, n, CASE n WHEN 1 THEN '1999-01' WHEN 2 THEN '1999-01' WHEN 3 THEN max(sort_key) ELSE max(sort_key) END AS anchor,
+    CASE WHEN n <= 3 THEN sum(chunk_count) ELSE 0 END::BIGINT AS chunks_since_anchor FROM months, range(1, 5) t(n) GROUP BY n
+    UNION ALL SELECT 'old', n, CASE WHEN n < 3 THEN '1999-01' ELSE '' END, 0 FROM range(1, 5) t(n)""")
+def q_control_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages to all stages: two pools answer, one of which was told of sources."""
+    pool = lambda name: {"name": name, "type": "shuffling_chunk_pool", "inputs": ["source"]}
+    controls = control.Controls(spark, {"stages": [{"name": "source", "type": "synthetic_source"}, pool("new"), pool("old")]}, new_path(spark, "controls"))
+    controls.ingested("new", months(spark, sf_dir))
+    out = []
+    for n, request in enumerate(({"set_anchor": "1999-01"}, {}, {"reset_anchor": True}, {}), 1):
+        out += [(stage, n, a["anchor"], a["chunks_since_anchor"]) for stage, a in controls.send({"chunk_pool": request, "unknown": {}})]
+    return spark.createDataFrame(out, "stage string, n bigint, anchor string, chunks_since_anchor bigint")
+
+
+def rises(older: dict, newer: dict) -> dict:
+    """Of two runs of values, how often a value is over the one before."""
+    if not older["n"] or not newer["n"]:
+        return newer if not older["n"] else older
+    return {"first": older["first"], "last": newer["last"], "n": older["n"] + newer["n"], "rises": older["rises"] + newer["rises"] + (newer["first"] > older["last"])}
+
+
+@query("""WITH v AS (SELECT event_type, value, lag(value) OVER (PARTITION BY event_type ORDER BY event_id) AS before FROM events)
+    SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > before) AS rises FROM v GROUP BY event_type""")
+def q_user_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregate of the user's own whose states must be merged in order."""
+    state = F.struct(F.col("value").alias("first"), F.col("value").alias("last"), F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("rises"))
+    rows = table(spark, sf_dir, "events").select("event_type", (F.col("event_id") + 1).alias("tick"), state.alias("state"))
+    monoid = exponential.Monoid(lambda: {"first": 0.0, "last": 0.0, "n": 0, "rises": 0}, rises)
+    return exponential.folded(rows, "tick", ["event_type"], "state", monoid, 9).select("event_type", "state.n", "state.rises")
+
+
 @query("SELECT part, id FROM (SELECT o_orderpriority AS part, o_orderkey AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) AS n, count(*) OVER (PARTITION BY o_orderpriority) AS all_ FROM orders) WHERE n > 100 AND all_ > 110")
 def q_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids over each part's newest hundred once there are a tenth more."""
