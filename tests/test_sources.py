@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import codecs, losses, rng, tensors, text
-from tidewater.sources import chunks, files, frames, sinks, synthetic
+from tidewater.sources import chunks, files, frames, nets, sinks, synthetic
 
 
 def made(n, seed=0):
@@ -327,3 +327,17 @@ def test_older_records_are_encoded_as_they_are_read():
         assert len(data) == 4 * frames.SIZES[version]
         back = frames.decode(data)
         assert np.array_equal(back["planes"], f["planes"]) and set(back["version"]) == {version}
+
+
+def test_nets_are_kept_column_by_column(spark, tmp_path):
+    layers = [("a", [2, 3], [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]), ("b", [2], [0.5, 0.25]), ("c", [0], []), ("d", [1, 2], None)]
+    net = spark.createDataFrame(layers, "path string, shape array<int>, values array<double>")
+    for encoding in nets.ENCODINGS:
+        path = f"file://{tmp_path}/{encoding}"
+        nets.write_net(net, path, encoding)
+        kept = {r["path"]: r["values"] for r in spark.read.parquet(path).collect()}
+        assert len(kept["a"]) == 6 and (encoding != "LINEAR16" or kept["a"] == [0, 39321, 13107, 52428, 26214, 65535])  # 1, 4, 2, 5, 3, 6
+        got = {r["path"]: r["values"] for r in nets.read_net(spark, path).collect()}
+        assert got["a"] == pytest.approx(layers[0][2], abs=1e-4) and got["b"] == pytest.approx([0.5, 0.25]) and got["c"] == [] and got["d"] is None
+    with pytest.raises(ValueError):
+        nets.write_net(net, "nowhere", "FLOAT8")

@@ -17,7 +17,7 @@ from tidewater.operators import exponential, joins, rescoring, schedule, stats
 from tidewater.operators.ordering import arrivals, numbered
 from tidewater.plans import control, spec
 from tidewater.plans.catalogue import COORDINATES, MONTHS, SEED, cells, months, query, rounded, table
-from tidewater.sources import chunks, files, sinks, synthetic
+from tidewater.sources import chunks, files, nets, sinks, synthetic
 from tidewater.storage import new_path
 from tidewater.streaming import anchors, windows
 
@@ -491,6 +491,22 @@ def q_half_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", weigh("half").alias("half"), weigh("brain").alias("brain"))
 
 
+@query("""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x, list_min(embedding)::DOUBLE AS low, list_max(embedding)::DOUBLE AS high FROM embeddings),
+    c AS (SELECT vec_id, i, CASE WHEN abs(x) < pow(2, -14) THEN round_even(x * pow(2, 24), 0) / pow(2, 24) ELSE round_even(x / pow(2, floor(log2(abs(x))) - 10), 0) * pow(2, floor(log2(abs(x))) - 10) END AS half,
+        CASE WHEN x = 0 THEN 0 ELSE trunc(x / pow(2, floor(log2(abs(x))) - 7)) * pow(2, floor(log2(abs(x))) - 7) END AS brain, round_even(65535.0::DOUBLE * ((x - low) / (high - low)), 0) / 65535.0::DOUBLE AS k, low, high FROM e)
+    SELECT 'net-00000007-' || encoding || '.pq' AS file, 'layer.' || vec_id AS path, round(sum(i * CASE encoding WHEN 'LINEAR16' THEN k * high + (1 - k) * low WHEN 'FLOAT16' THEN half ELSE brain END), 4) + 0 AS total
+    FROM c, (SELECT unnest(['LINEAR16', 'FLOAT16', 'BFLOAT16']) AS encoding) GROUP BY encoding, vec_id""")
+def q_coded_nets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nets exported in each encoding under names from a template, and read."""
+    net = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("layer."), "vec_id").alias("path"), F.when(F.col("vec_id") % 2 == 0, F.array(F.lit(4), F.lit(16))).otherwise(F.array(F.lit(64))).alias("shape"), F.col("embedding").alias("values"))
+    folder, out = new_path(spark, "nets"), []
+    for encoding in nets.ENCODINGS:
+        path = nets.export(net, folder, f"net-{{step:08d}}-{encoding}.pq", 7, datetime.datetime(2024, 1, 31), encoding)
+        total = F.aggregate(F.transform("values", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+        out.append(nets.read_net(spark, path).select(F.lit(path.rpartition("/")[2]).alias("file"), "path", (F.round(total, 4) + 0).alias("total")))
+    return joins.join_positions(out)
+
+
 @query(f"WITH {COORDINATES}, t AS (SELECT vec_id, (i % 4) * 16 + i // 4 AS place, x FROM cells) SELECT vec_id, round(sum(x * place), 4) + 0 AS total FROM t GROUP BY vec_id")
 def q_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A matrix of four rows by sixteen from its transpose's values."""
