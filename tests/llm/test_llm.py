@@ -256,7 +256,9 @@ def test_simhash_edges(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_components_of_long_chains_and_stars(spark):
+@pytest.mark.parametrize("broadcast", [common.BROADCAST_EDGES, 0])
+def test_components_of_long_chains_and_stars(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_EDGES", broadcast)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (None, 3), (7, 8), (8, 7)]
     df = spark.createDataFrame(edges, "a bigint, b bigint")
     nodes = spark.createDataFrame([(i,) for i in [*range(41), *range(100, 160), 200, 300]], "node bigint")

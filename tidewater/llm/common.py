@@ -11,6 +11,8 @@ __all__ = ["bound_batches", "components", "hot_join", "id_remainder", "map_batch
 
 #: Rows of an Arrow batch and bytes it may take, so that very long texts don't meet in one batch.
 BATCH_BYTES = 4 << 20
+#: Edges, sixteen bytes each, of a graph whose nodes' least neighbours are broadcast; a larger graph's are joined by a shuffle.
+BROADCAST_EDGES = 500_000
 #: A key with one of so many rows is hot: at most so many keys are, and their few rows are broadcast.
 HOT_SHARE = 2000
 
@@ -56,25 +58,31 @@ def hot_join(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFram
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node reachable over edges (a, b), itself included.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014): every step groups and joins on one key, so
-    Spark combines before it shuffles and splits a skewed side; each is cut by a written table. Nodes without an edge
-    stay alone. Edges with a null or equal ends are ignored; repeated edges count once.
+    Alternating large-star and small-star steps (Kiveris et al. 2014), each cut by a written table. What a step groups
+    is combined before it is shuffled, and what it joins is broadcast up to BROADCAST_EDGES edges; beyond, nodes of very
+    many neighbours are (hot_join). Nodes without an edge stay alone. Edges with a null or equal ends are ignored;
+    repeated edges count once.
     """
     spark = edges.sparkSession
+
+    def met(rows: DataFrame, side: DataFrame, total: int) -> DataFrame:
+        return rows.join(F.broadcast(side.drop("n")), "a") if total <= BROADCAST_EDGES else hot_join(rows, side, "a", 2 * total)
+
     now = edges.where("a is not null and b is not null and a <> b")
     now = stored(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen, total = None, now.count()
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = hot_join(both.where("b > a"), least, "a", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = met(both.where("b > a"), least, total).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = met(large, low, total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         after = stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
         now, seen, total = after, mark, mark[0]
     found = now.groupBy("a").agg(F.min("b").alias("component"))
+    found = F.broadcast(found) if total <= BROADCAST_EDGES else found
     return nodes.join(found, nodes["node"] == found["a"], "left").select("node", F.coalesce("component", "node").alias("component"))
