@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -48,7 +49,8 @@ def by_strings(vocabulary: dict) -> bool:
     steps = splitter.get("pretokenizers", [])
     split = len(steps) == 2 and steps[0].get("type") == "Split" and steps[0]["pattern"] == {"Regex": SPLITTER} and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
     level = split and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
-    return bool(level) and vocabulary["normalizer"] == NORMALISER and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+    plain = all(t["special"] for t in vocabulary["added_tokens"])  # others would be cut out of a text first
+    return bool(level) and plain and vocabulary["normalizer"] == NORMALISER and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
 
 
 class Ids:
@@ -104,7 +106,8 @@ class Ids:
             else:
                 plain.add(w)
         fresh = [w for w in plain if w not in known]
-        known.update(self.letters([w for w in fresh if w.isalpha()]))
+        known.update(self.ascii_letters([w for w in fresh if w.isalpha() and w.isascii()]))
+        known.update(self.letters([w for w in fresh if w.isalpha() and not w.isascii()]))
         rest = [w for w in fresh if w not in known]
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
@@ -116,6 +119,13 @@ class Ids:
                 known.pop(w, None)
         return done
 
+    def ascii_letters(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(word, ids) of words of ASCII letters: what the normaliser and the splitter leave of each is itself in small letters, so the model alone is asked."""
+        model, pack = self.tokenizer.model.tokenize, struct.pack
+        for w in words:
+            ids = [t.id for t in model(w.lower())]
+            yield w, pack(f"<{len(ids)}I", *ids)
+
     def letters(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """(word, ids) of words of letters alone: each is one run, and only a run's last id is a word end."""
         for at in range(0, len(words), 1000):
