@@ -334,6 +334,32 @@ def test_large_clusters_are_checked_on_their_shingles(spark):
     assert classes["one task"] == classes["blocks"]
 
 
+def kept_by_brute_force(rows):
+    label = list(range(len(rows)))
+    pairs = brute_alike(rows)
+    while True:
+        before = list(label)
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    groups = defaultdict(list)
+    for x, r in zip(label, rows):
+        groups[x].append(r["doc_id"])
+    return {min(x) for x in groups.values()}
+
+
+@pytest.mark.parametrize("nodes", [similar.CLUSTER_NODES, 30])
+def test_either_side_of_the_threshold(spark, nodes):
+    g = np.random.default_rng(21)
+    body = [f"w{x}" for x in g.integers(0, 1 << 30, 300)]
+    rows = [{"doc_id": k, "text": edited(g, body, 3 if k % 2 else 5)} for k in range(80)]  # similarities about 0.82 and 0.75
+    df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id bigint, text string")
+    want = kept_by_brute_force(rows)
+    assert 1 < len(want) < 80
+    assert {r["doc_id"] for r in similar.deduplicated(df, cluster_nodes=nodes).collect()} == want
+
+
 def test_repeated_phrases_do_not_hide_near_copies(spark):
     g = np.random.default_rng(5)
     rows = []

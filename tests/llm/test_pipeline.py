@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.conftest import SF
 from tests.llm.test_llm import check_pieces
-from tidewater.llm import linerules
+from tidewater.llm import linerules, packing
 from tidewater.llm.common import stored
 
 
@@ -78,3 +78,26 @@ def test_nulls(spark):
         df = f(spark, df, SF)
     assert df.count() <= 1
     assert zlib.crc32(b"") == 0
+
+
+def test_long_texts_ties_and_clashing_columns(spark, stages):
+    """Every stage over odd rows: a very long text, equal texts of equal and of different ids, columns called as the stages' own."""
+    some = [r for r in stages[2].collect() if len(r["text"].split()) > 40][:12]
+    long = " ".join(r["text"] for r in some)
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in some]
+    rows += [rows[0], (10**9, rows[1][1], "en", "z", 1), (10**9 + 1, long, None, "z", len(long)), (10**9 + 2, long + " one more word", "en", None, 3), (None, rows[2][1], "en", "z", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    clash = "key fp row tokens topic vector word n rank part start a b node component id band minima mean own a`b".split()
+    df = df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(clash)])
+    out = [df]
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        after = f(spark, out[-1], SF)
+        assert after.columns == df.columns
+        out.append(after.sparkSession.createDataFrame(after.collect(), after.schema))
+    kept = out[3].collect()
+    texts = [r["text"] for r in kept]
+    assert len(texts) == len(set(texts)) and max(map(len, texts)) > 0.9 * len(long)
+    assert sum(r["text"].startswith(long[:2000]) for r in kept) == 1 and None not in [r["doc_id"] for r in kept]
+    assert [r["doc_id"] for r in kept if r["text"] == rows[1][1]] == [rows[1][0]]  # of equal texts the smallest id stays
+    pieces = packing.pack(out[4]).collect()
+    assert sum(p["length"] for p in pieces) == sum(p["doc_tokens"] for p in pieces if p["start"] == 0)

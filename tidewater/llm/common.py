@@ -63,7 +63,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     many neighbours are (hot_join). Nodes without an edge stay alone. Edges with a null or equal ends are ignored;
     repeated edges count once.
     """
-    spark = edges.sparkSession
 
     def met(rows: DataFrame, side: DataFrame, total: int) -> DataFrame:
         return rows.join(F.broadcast(side.drop("n")), "a") if total <= BROADCAST_EDGES else hot_join(rows, side, "a", 2 * total)

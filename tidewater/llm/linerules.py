@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import map_batches
+from tidewater.llm.common import map_batches, placed
 
 LOST = 0.5
 WINDOW = 5
@@ -168,7 +168,7 @@ def cleaned(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_ch
     """df's kept rows with their failed lines removed; chars_col, where df has it, counts the characters left."""
     at = df.columns.index(text_col)
     chars = df.columns.index(chars_col) if chars_col in df.columns else None
-    fields = df.schema
+    plain = placed(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,4 +182,4 @@ def cleaned(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_ch
                 columns[chars] = pa.array([len(t) for t in texts], out.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(columns, schema=out.schema)
 
-    return map_batches(df, run, fields)
+    return map_batches(plain, run, plain.schema).toDF(*df.columns)

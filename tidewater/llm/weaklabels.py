@@ -26,9 +26,8 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidewater.llm.common import map_batches
+from tidewater.llm.common import map_batches, placed
 from tidewater.llm.linerules import repeated_words
 
 GOOD, BAD = 1, 2
@@ -296,7 +295,7 @@ def classify(df: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
 
 def kept_rows(df: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
     """df's rows that are kept, with all their columns."""
-    at = df.columns.index(text_col)
+    at, plain = df.columns.index(text_col), placed(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
@@ -304,4 +303,4 @@ def kept_rows(df: DataFrame, model: Classifier, text_col: str = "text") -> DataF
             found = scores(batch.column(at).to_pylist(), model, known)
             yield batch.filter(pa.array([s >= THRESHOLD for _, s in found], pa.bool_()))
 
-    return map_batches(df, run, T.StructType(df.schema.fields))
+    return map_batches(plain, run, plain.schema).toDF(*df.columns)
