@@ -10,15 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.functions.tensors import let
+
 FLAT = 1e-8
 
 
 def linear16_encode(values: Column) -> Column:
     """(low, high, codes): 65535 steps between the extremes, halves to even; a range under FLAT is coded in the middle."""
-    x = values.cast("array<double>")
-    low, high = F.array_min(x), F.array_max(x)
-    code = lambda v: F.bround(F.lit(65535.0) * F.when(high - low < FLAT, 0.5).otherwise((v - low) / (high - low))).cast("int")
-    return F.struct(low.alias("low"), high.alias("high"), F.transform(x, code).alias("codes"))
+
+    def coded(x: Column) -> Column:
+        code = lambda ends: lambda v: F.bround(F.lit(65535.0) * F.when(ends["high"] - ends["low"] < FLAT, 0.5).otherwise((v - ends["low"]) / (ends["high"] - ends["low"]))).cast("int")
+        ends = F.struct(F.array_min(x).alias("low"), F.array_max(x).alias("high"))
+        return let(ends, lambda e: F.struct(e["low"].alias("low"), e["high"].alias("high"), F.transform(x, code(e)).alias("codes")))
+
+    return let(values.cast("array<double>"), coded)
 
 
 def linear16_decode(coded: Column) -> Column:

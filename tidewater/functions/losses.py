@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewater.functions.tensors import q_of_logits, total, wdl
-
+from tidewater.functions.tensors import let, q_of_logits, total, wdl
 
 
 def zipped(a: Column, b: Column, f) -> Column:
@@ -15,15 +14,13 @@ def zipped(a: Column, b: Column, f) -> Column:
 
 def log_sum_exp(xs: Column) -> Column:
     """Over elements that aren't null."""
-    top = F.array_max(xs)
-    return top + F.log(F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.coalesce(F.exp(x - top), F.lit(0.0))))
+    return let(F.array_max(xs), lambda top: top + F.log(F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.coalesce(F.exp(x - top), F.lit(0.0)))))
 
 
 def cross_entropy(logits: Column, labels: Column) -> Column:
     """Softmax cross-entropy; a masked (null) logit counts only if its label isn't 0, and then without bound."""
-    norm = log_sum_exp(logits)
-    terms = zipped(logits, labels, lambda x, t: F.when(t == 0, 0.0).when(x.isNull(), float("inf")).otherwise(t * (norm - x)))
-    return total(terms)
+    term = lambda norm: lambda x, t: F.when(t == 0, 0.0).when(x.isNull(), float("inf")).otherwise(t * (norm - x))
+    return let(logits, lambda xs: let(log_sum_exp(xs), lambda norm: total(zipped(xs, labels, term(norm)))))
 
 
 def masked(logits: Column, targets: Column) -> Column:
@@ -41,7 +38,7 @@ def tempered(targets: Column, temperature: float) -> Column:
     if t == 1.0:
         return targets
     raised = F.transform(targets, lambda x: F.pow(x, F.lit(1.0 / t)))
-    return F.transform(raised, lambda x: x / F.when(total(raised) > 0, total(raised)).otherwise(1.0))
+    return let(raised, lambda xs: let(total(xs), lambda whole: F.transform(xs, lambda x: x / F.when(whole > 0, whole).otherwise(1.0))))
 
 
 def policy_cross_entropy(logits: Column, targets: Column, temperature: float = 1.0, mask: bool = True) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -96,10 +97,14 @@ def wdl_of_result(result: Column) -> Column:
     return F.array(*[(result == v).cast("float") for v in (1, 0, -1)])
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once; inside a lambda it would be for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    e = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return let(e, lambda e: let(total(e), lambda whole: F.transform(e, lambda x: x / whole)))
 
 
 def total(xs: Column) -> Column:
@@ -108,8 +113,7 @@ def total(xs: Column) -> Column:
 
 def q_of_logits(logits: Column) -> Column:
     """Win less loss of win, draw, loss logits."""
-    p = softmax(logits)
-    return p[0] - p[2]
+    return let(softmax(logits), lambda p: p[0] - p[2])
 
 
 def plies_left(plies: Column, invariance: Column) -> Column:

@@ -566,8 +566,8 @@ HEADS = """heads AS (SELECT vec_id, label, list_transform(list_slice(embedding,
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = lambda x: x.cast("double")
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 32), lambda x: d(x * F.lit(10).cast("float"))).alias("logits"), F.transform(F.slice("embedding", 33, 32), lambda x: F.when(d(x) < -0.15, -1.0).otherwise(F.abs(d(x)))).alias("raw"))
-    whole = tensors.total(losses.legal(F.col("raw")))
-    return rows.withColumn("t", F.transform("raw", lambda x: F.when(x < 0, -1.0).otherwise(x / whole)))
+    target = lambda whole: lambda x: F.when(x < 0, -1.0).otherwise(x / whole)
+    return rows.withColumn("t", tensors.let(tensors.total(losses.legal(F.col("raw"))), lambda whole: F.transform("raw", target(whole))))
 
 
 LSE = "ln(list_sum(list_transform(list_filter(list_zip(logits, t), lambda p: p[2] >= 0), lambda p: exp(p[1]))))"
