@@ -7,6 +7,7 @@ comes back has its row in the tables.
 from __future__ import annotations
 
 import datetime
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -141,6 +142,13 @@ def q_checkpoint_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.join_positions([files.read_checkpoint(spark, path, s).select(F.lit(s).alias("step"), "path", F.get("values", F.lit(0)).alias("first")) for s in files.checkpoint_steps(spark, path, 15, 30)])
 
 
+@query(f"""WITH i AS (SELECT range AS id FROM range(400)), u AS (SELECT id, greatest({sql_uniform("'synthetic'", "'r'", 'id')}, 1e-12::DOUBLE) AS r, greatest({sql_uniform("'synthetic'", "'a'", 'id')}, 1e-12::DOUBLE) AS a FROM i)
+    SELECT lpad(id::VARCHAR, 8, '0') AS sort_key, greatest(1, round(20 + sqrt(-2 * ln(r)) * cos(2 * pi() * a) * 5.0::DOUBLE)::BIGINT) AS chunk_count FROM u""")
+def q_synthetic_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthetic sources whose counts are about normal; they read no table."""
+    return synthetic.sources(spark, 400, 20).select("sort_key", "chunk_count")
+
+
 # K: sinks.
 @query("""SELECT source AS file, (count(*) FILTER (WHERE quality = 1))::VARCHAR AS w, (count(*) FILTER (WHERE toxic = 1))::VARCHAR AS d, (count(*) FILTER (WHERE quality = 0 AND toxic = 0))::VARCHAR AS l FROM documents JOIN labels USING (doc_id) GROUP BY source
     UNION ALL SELECT 'file', 'w', 'd', 'l'""")
@@ -216,6 +224,37 @@ def q_shuffled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Specs.
+BAD_SPECS = {
+    "no such type": [{"name": "a", "type": "nothing"}],
+    "no such option": [{"name": "a", "type": "synthetic_source", "colour": 1}],
+    "a name twice": [{"name": "a", "type": "synthetic_source"}, {"name": "a", "type": "synthetic_source"}],
+    "no such input": [{"name": "a", "type": "join_positions", "inputs": ["b"]}],
+    "a circle": [{"name": "a", "type": "join_positions", "inputs": ["b"]}, {"name": "b", "type": "join_positions", "inputs": ["a"]}],
+    "rate and count": [{"name": "s", "type": "synthetic_source"}, {"name": "a", "type": "chunk_unpacker", "inputs": ["s"], "position_sampling_rate": 0.5, "position_count": 1}],
+    "neither": [{"name": "s", "type": "synthetic_source"}, {"name": "a", "type": "chunk_unpacker", "inputs": ["s"]}],
+    "half a prefetch": [{"name": "s", "type": "synthetic_source"}, {"name": "a", "type": "chunk_unpacker", "inputs": ["s"], "position_count": 1, "prefetch_count": 2}],
+    "more outputs than weights": [{"name": "s", "type": "synthetic_source"}, {"name": "a", "type": "chunk_source_splitter", "inputs": ["s"], "output": ["x", "y"], "weight": [1]}],
+    "no weight": [{"name": "s", "type": "synthetic_source"}, {"name": "a", "type": "chunk_source_splitter", "inputs": ["s"], "output": ["x"], "weight": [0]}],
+    "half a deblunder": [{"name": "s", "type": "synthetic_source"}, {"name": "a", "type": "chunk_rescorer", "inputs": ["s"], "deblunder_threshold": 0.1}],
+    "no queue": [{"name": "a", "type": "synthetic_source", "queue_capacity": 0}],
+    "sound": [{"name": "s", "type": "synthetic_source"}, {"name": "a", "type": "chunk_unpacker", "inputs": ["s"], "position_count": 1}],
+}
+
+
+@query("SELECT unnest(['no such type', 'no such option', 'a name twice', 'no such input', 'a circle', 'rate and count', 'neither', 'half a prefetch', 'more outputs than weights', 'no weight', 'half a deblunder', 'no queue', 'sound']) AS fault, unnest([true, true, true, true, true, true, true, true, true, true, true, true, false]) AS refused")
+def q_bad_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specs that are refused before anything is built."""
+
+    def refused(stages: list[dict]) -> bool:
+        try:
+            spec.checked({"stages": stages})
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(k, refused(v)) for k, v in BAD_SPECS.items()], "fault string, refused boolean")
+
+
 LOADED = [{"name": "files", "type": "file_path_provider"}, {"name": "load", "type": "chunk_source_loader", "inputs": ["files"]}]
 
 
@@ -332,6 +371,22 @@ def q_anchor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(before, key, anchors.Anchor(spark, path).chunks)], "before_reset bigint, anchor string, after_reset bigint")
 
 
+@query("SELECT count(*) AS rows FROM events")
+def q_stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream reports of itself, batch by batch: the rows that it read."""
+    path, lines = new_path(spark, "events"), []
+    rows = table(spark, sf_dir, "events").select("event_id")
+    rows.repartition(3).write.parquet(path)
+    listener = windows.Progress(lines.append)
+    spark.streams.addListener(listener)
+    try:
+        windows.run_available(windows.watched(spark, path, rows.schema, files_per_trigger=1), lambda df, i: df.write.format("noop").mode("overwrite").save(), new_path(spark, "stream"))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.createDataFrame([(sum(json.loads(x)["numInputRows"] for x in lines),)], "rows bigint")
+
+
 @query("SELECT event_type, (epoch_us(ts) // 4096000000)::BIGINT AS block, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def q_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of 2**18 ticks of event time over a stream of files."""
