@@ -467,12 +467,34 @@ def test_strings_are_quantised_whole(spark):
     names = [f"https://example.org/part-{i:03d}" for i in range(64)]
     rows = [(i, names[i // 4], f"text {i}") for i in range(256)]
     df = spark.createDataFrame(rows, "doc_id bigint, url string, text string")
-    cuts = sharding.text_cuts(df, "url", 3)
+    cuts = sharding.cut_points(df, "url", 3)
     assert cuts == [names[8 * k] for k in range(1, 8)]
     got = {r["doc_id"]: r["shard"] for r in sharding.hilbert_shards(df, [sharding.Dimension("url")], shards=8, bits=3).collect()}
     assert all(got[i] == i // 32 for i in range(256))
     one = df.withColumn("url", F.when(F.col("doc_id") < 200, "a").otherwise(F.col("url")))
-    assert "a" not in sharding.text_cuts(one, "url", 3) and sharding.text_cuts(one.where("false"), "url", 3) == []
+    assert "a" not in sharding.cut_points(one, "url", 3) and sharding.cut_points(one.where("false"), "url", 3) == []
+
+
+def test_cuts_are_exact_quantiles(spark):
+    g = np.random.default_rng(6)
+    values = [float(x) for x in g.integers(0, 50, 400)] + [None] * 7
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    there = sorted(v for v in values if v is not None)
+    want = sorted({there[-(-k * len(there) // 8)] for k in range(1, 8)} - {there[0]})
+    assert sharding.cut_points(df, "x", 3) == want
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_give_the_rows_of_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SMALL)
+    found = con.execute(queries.ORACLE_SQL[name])
+    names = [x[0] for x in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(str, (tuple(r[c] for c in names) for r in df.collect()))) == sorted(map(str, found.fetchall()))
 
 
 def test_sharding_edges(odd, none, docs, tmp_path):

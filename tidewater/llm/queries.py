@@ -59,7 +59,42 @@ _failed = f"""(2 * len(list_filter(ws, lambda w: regexp_matches(w, '[#*$%&<>^~=_
     OR (len(list_filter(ws, lambda w: w IN ({', '.join(repr(x) for x in sorted(linerules.SEPARATORS))}))) >= greatest(3, n / 5))
     OR (n >= 3 AND len(list_filter(ws, lambda w: regexp_full_match(w, '(https?://|www\\.)\\S+|\\[[^\\]]*\\]\\([^)]*\\)'))) = n)
     OR regexp_matches(lower(line), '{'|'.join(linerules.BOILERPLATE).replace("'", "''")}'))"""
+#: Cells of op4's dimensions: how many of a dimension's cut points are at or below a value.
+_cells = """{name}_cells AS (SELECT v, sum(CASE WHEN before > 0 AND (before * 32 + t - 1) // t < ((before + n) * 32 + t - 1) // t THEN 1 ELSE 0 END) OVER (ORDER BY v)::BIGINT AS cell
+    FROM (SELECT v, n, (sum(n) OVER (ORDER BY v) - n)::BIGINT AS before, (sum(n) OVER ())::BIGINT AS t FROM (SELECT {name} AS v, count(*) AS n FROM documents WHERE {name} IS NOT NULL GROUP BY 1)))"""
+
+
+def _hilbert() -> str:
+    """The tables h0 ... of coordinates x0, x1, x2 turned step by step, each from the one before, and last the index."""
+    steps, at = [], 0
+    for q in (16, 8, 4, 2):
+        for i in range(3):
+            held, swap = f"x{i} & {q} <> 0", f"xor(x0, x{i}) & {q - 1}"
+            new = [f"CASE WHEN {held} THEN xor(x0, {q - 1}) ELSE xor(x0, {swap}) END AS x0"]
+            new += [f"CASE WHEN {held} THEN x{k} ELSE xor(x{k}, {swap}) END AS x{k}" if k == i else f"x{k}" for k in (1, 2)]
+            steps.append(f"h{at + 1} AS (SELECT id, doc_id, size, crc, {', '.join(new)} FROM h{at})")
+            at += 1
+    steps.append(f"g AS (SELECT id, doc_id, size, crc, x0, xor(x0, x1) AS x1, xor(xor(x0, x1), x2) AS x2 FROM h{at})")
+    turn = "0"
+    for q in (16, 8, 4, 2):
+        turn = f"xor({turn}, CASE WHEN x2 & {q} <> 0 THEN {q - 1} ELSE 0 END)"
+    steps.append(f"t AS (SELECT id, doc_id, size, crc, xor(x0, {turn}) AS x0, xor(x1, {turn}) AS x1, xor(x2, {turn}) AS x2 FROM g)")
+    index = " + ".join(f"((x{i} >> {b}) & 1) * {1 << (3 * b + 2 - i)}" for b in range(5) for i in range(3))
+    return ",\n        ".join([*steps, f"curve AS (SELECT id, doc_id, size, crc, ({index})::BIGINT AS curve FROM t)"])
+
+
+#: CRC-32 of a text's bytes, by a table of its own.
+_crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: ('0x' || b)::BIGINT)), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"
 ORACLE_SQL: dict[str, str] = {
+    "op4_sharding": f"""
+        WITH tbl AS (SELECT list(c ORDER BY i) AS crcs FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+        {', '.join(_cells.format(name=n) for n in ('source', 'lang', 'n_chars'))},
+        h0 AS (SELECT row_number() OVER () AS id, doc_id, strlen(coalesce(text, '')) + 1 AS size, {_crc} AS crc, coalesce(a.cell, 0) AS x0, coalesce(b.cell, 0) AS x1, coalesce(c.cell, 0) AS x2
+            FROM documents d CROSS JOIN tbl LEFT JOIN source_cells a ON d.source = a.v LEFT JOIN lang_cells b ON d.lang = b.v LEFT JOIN n_chars_cells c ON d.n_chars = c.v),
+        {_hilbert()},
+        r AS (SELECT *, row_number() OVER (ORDER BY curve, crc, doc_id NULLS FIRST, size) - 1 AS rank, count(*) OVER () AS total FROM curve),
+        s AS (SELECT *, rank * 16 // total AS shard FROM r)
+        SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, curve, 'rows' AS law, shard::INTEGER AS shard, (rank - (shard * total + 15) // 16)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM s""",
     "op5_quality_rules": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
         windows AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 4), ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d WHERE len(words) >= 5)),

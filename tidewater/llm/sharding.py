@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve, in DataFrame functions alone.
 
-Each metadata dimension is quantised to 2**bits cells at its own quantiles: numbers at approximate ones, other values,
-whole, at those of their distinct values' counts. The cells' coordinates become an index on the Hilbert curve, the rows are sorted by it and cut into runs of equal row counts. Neighbours on the curve are
+Each metadata dimension is quantised to 2**bits cells at its own exact quantiles, found among its distinct values and
+their counts. The cells' coordinates become an index on the Hilbert curve, the rows are sorted by it and cut into runs of equal row counts. Neighbours on the curve are
 neighbours in every dimension, so a file's minima and maxima prune on each of them.
 
 The sort is a range partitioning over (index, text checksum, id), so equal texts and a hot source spread over many
@@ -26,8 +26,6 @@ from tidewater.operators.ordering import prefixed
 
 BITS = 5
 SHARDS = 16
-#: percentile_approx's accuracy: rank error of a boundary at most rows / ACCURACY.
-ACCURACY = 2000
 
 
 @dataclass(frozen=True)
@@ -41,21 +39,14 @@ def is_number(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.NumericType)
 
 
-def number_cuts(df: DataFrame, names: list[str], bits: int) -> dict[str, list[float]]:
-    """Up to 2**bits - 1 increasing cut points of each column of doubles, at its quantiles."""
-    at = [i / (1 << bits) for i in range(1, 1 << bits)]
-    row = df.agg(*[F.percentile_approx(n, at, ACCURACY).alias(n) for n in names]).first() if names else {}
-    return {n: sorted(set(row[n] or [])) for n in names}
-
-
-def text_cuts(df: DataFrame, name: str, bits: int) -> list[str]:
-    """Up to 2**bits - 1 increasing cut points of a column of strings: the values at its exact quantiles."""
+def cut_points(df: DataFrame, name: str, bits: int) -> list:
+    """Up to 2**bits - 1 increasing cut points of a column: the values at its exact quantiles, nulls left out."""
     values = stored(df.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("rows")), "values")
     total = values.agg(F.sum("rows")).first()[0] or 0
     before = prefixed(values, [F.col(name)], {"before": F.col("rows")})
     reached = lambda n: F.expr(f"(({n}) * {1 << bits} + {total - 1}) div {max(total, 1)}")
     cuts = before.where((F.col("before") > 0) & (reached("before") < reached("before + rows")))
-    return sorted((r[name] for r in cuts.select(name).collect()), key=str.encode)  # a row a cell at most
+    return [r[name] for r in cuts.select(name, "before").orderBy("before").collect()]  # a row a cell at most
 
 
 def quantised(value: Column, cuts: list) -> Column:
@@ -110,8 +101,7 @@ def hilbert_shards(df: DataFrame, dimensions: list[Dimension], shards: int = SHA
     names = [f"d{i}" for i in range(len(dimensions))]
     values = [F.col(d.name).cast("double" if is_number(df, d.name) else "string").alias(n) for d, n in zip(dimensions, names, strict=True)]
     slim = df.select(*values, F.col(id_col).alias("doc_id"), (F.length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    numbers = [n for d, n in zip(dimensions, names, strict=True) if is_number(df, d.name)]
-    cuts = number_cuts(slim.select(*names), numbers, bits) | {n: text_cuts(slim.select(n), n, bits) for n in names if n not in numbers}
+    cuts = {n: cut_points(slim.select(n), n, bits) for n in names}
     cells = slim.select("doc_id", "size", "text_crc32", *[quantised(F.col(n), cuts[n]).alias(n) for n in names])
     curve = cells.select("doc_id", "size", "text_crc32", hilbert_index([F.col(n) for n in names], bits).alias("curve"))
     at = ranked(stored(curve, "curve"), ["curve", "text_crc32", "doc_id", "size"])  # texts are read once
