@@ -306,6 +306,28 @@ def q_spec_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("sort_key", "chunk_index", "global_index", "use_count").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {ARCHIVE}, s AS (SELECT sort_key, count(DISTINCT chunk_index) AS n FROM archive GROUP BY 1), w AS (SELECT * FROM (SELECT *, sum(n) OVER (ORDER BY sort_key DESC) - n AS newer FROM s) WHERE newer < 17), t AS (SELECT sum(n) AS total FROM s)
+    SELECT 'pool' AS stage, unnest(['chunks_total', 'chunk_sources', 'chunks_current', 'dropped', 'hanse_rejected', 'cache_hits', 'cache_misses', 'newly_cached', 'dropped_cache_positions', 'cached_positions']) AS name,
+        unnest(['gauge', 'gauge', 'gauge', 'count', 'count', 'count', 'count', 'count', 'count', 'gauge']) AS kind,
+        unnest([max(total), count(*), sum(n), 0, 0, 17 * 3, 17 * 2, 17 * 4, 17 * 2, 17]::DOUBLE[]) AS value, NULL::VARCHAR AS text FROM w, t
+    UNION ALL SELECT 'load', 'skipped_files', 'count', 1.0::DOUBLE, NULL UNION ALL SELECT 'load', 'last_chunk_key', 'gauge', NULL, max(sort_key) FROM archive
+    UNION ALL SELECT 'all', unnest(['chunks_processed', 'chunks_dropped', 'sources_processed']), 'count', unnest([sum(n), 0, count(*)]::DOUBLE[]), NULL FROM s""")
+def q_stage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stages tell of themselves: five uses of seventeen chunks, two positions cached by each miss."""
+    path = tars(spark, sf_dir)
+    with open(f"{path}/notes.txt", "w") as f:
+        f.write("a file that is no archive")
+    stages = [
+        {**LOADED[0], "directory": f"file://{path}"},
+        LOADED[1],
+        {"name": "all", "type": "simple_chunk_extractor", "inputs": ["load"]},
+        {"name": "pool", "type": "shuffling_chunk_pool", "inputs": ["load", "unpack.ahead"], "chunk_pool_size": 17, "epochs": 5, "cachehit_output": "hits", "position_cache_size": 34},
+        {"name": "unpack", "type": "chunk_unpacker", "inputs": ["pool"], "position_count": 1, "prefetch_count": 3, "prefetch_output": "ahead"},
+    ]
+    out = spec.build(spark, {"stages": stages})
+    return joins.join_positions([out[f"{k}.metrics"].select(F.lit(k).alias("stage"), "name", "kind", "value", "text") for k in ("pool", "load", "all")])
+
+
 @query(f"""WITH {ARCHIVE}, c AS (SELECT DISTINCT sort_key, chunk_index FROM archive)
     SELECT sort_key, chunk_index, row_number() OVER (ORDER BY sort_key, {sql_uniform("'extract'", 'sort_key', 'chunk_index')}, chunk_index) - 1 AS global_index, 0::BIGINT AS use_count FROM c""")
 def q_spec_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ KEYS = [T.StructField("sort_key", T.StringType()), T.StructField("chunk_index",
 SCHEMA = T.StructType([*KEYS, *frames.FIELDS])
 ARROW = pa.schema([pa.field("sort_key", pa.string()), pa.field("chunk_index", pa.int64()), pa.field("frame_idx", pa.int32()), *frames.ARROW])
 IGNORED = "LICENSE"
+KINDS = {".gz": "gz", ".tar": "tar", ".bz2": "bz2"}
 #: Frames of an Arrow batch, about eight kilobytes each, and bytes of a file read at a time.
 BATCH, READ = 512, 1 << 16
 
@@ -52,7 +53,7 @@ def listed(paths: list[str], recursive: bool = True) -> list[str]:
 
 
 def kind_of(path: str) -> str | None:
-    return {".gz": "gz", ".tar": "tar", ".bz2": "bz2"}.get(os.path.splitext(path)[1])
+    return KINDS.get(os.path.splitext(path)[1])
 
 
 def gunzipped(stream: BinaryIO, most: int | None = None) -> bytes | None:
