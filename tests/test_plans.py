@@ -177,8 +177,9 @@ def test_a_rescorer_by_name(spark):
     rescoring.RESCORERS["turned"] = turned
     try:
         frames = spark.createDataFrame([("k", c, i, 0.5, 0.25, 7) for c in range(2) for i in range(3)], "sort_key string, chunk_index bigint, frame_idx int, root_q double, root_d double, played_idx int")
-        (out,) = spec.STAGES["chunk_rescorer"](spark, spec.options_of({"name": "r", "type": "chunk_rescorer", "inputs": [], "rescorer": "turned", "dist_temp": 0.5}), [frames]).values()
-        rows = out.orderBy("frame_idx").collect()
+        out = spec.STAGES["chunk_rescorer"](spark, spec.options_of({"name": "r", "type": "chunk_rescorer", "inputs": [], "rescorer": "turned", "dist_temp": 0.5}), [frames])
+        rows = out[""].orderBy("frame_idx").collect()
+        assert [tuple(r) for r in out["metrics"].collect()] == [("failed_rescores", "count", 1.0, None)]
         assert [(r["chunk_index"], r["root_q"]) for r in rows] == [(1, 0.25)] * 3 and rows[2]["q_st"] == pytest.approx(0.25) and rows[0]["opp_played_idx"] == 7
     finally:
         del rescoring.RESCORERS["turned"]
