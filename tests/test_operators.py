@@ -158,6 +158,48 @@ def test_newest_window(spark, counts, size):
     assert [x[0] for x in stay] == sorted(kept)
 
 
+def test_look_ups_over_gaps_and_empty_sources(spark):
+    sources = spark.createDataFrame([("a", 5, 3), ("b", 8, 0), ("c", 8, 40), ("d", 60, 1)], "sort_key string, start_chunk_index bigint, chunk_count bigint")
+    indices = spark.createDataFrame([(i, i * 2) for i in range(70)] + [(6, 0), (None, 1)], "global_index bigint, own int")
+    want = sorted([(i, k, i - s0) for i in [*range(70), 6] for k, s0, n in (("a", 5, 3), ("c", 8, 40), ("d", 60, 1)) if s0 <= i < s0 + n])
+    got = pool.range_lookup(indices, sources)
+    assert values(got, "global_index", "sort_key", "index_within_sort_key") == want and got.columns[:2] == ["global_index", "own"]
+    assert pool.range_lookup(indices, sources.where("false")).count() == 0 and pool.range_lookup(indices.where("false"), sources).count() == 0
+
+
+def test_rows_are_numbered_as_they_come(spark):
+    rows = spark.createDataFrame([(i % 3,) for i in range(50)], "k int").repartition(5)
+    came = [r["k"] for r in rows.collect()]
+    got = values(ordering.arrivals(rows), "row_number", "k")
+    assert [n for n, _ in got] == list(range(1, 51)) and sorted(k for _, k in got) == sorted(came)
+    assert ordering.arrivals(rows.where("k > 9")).count() == 0
+
+
+def test_an_order_by_a_random_number(spark):
+    rows = spark.range(500).select(F.col("id"), (F.col("id") % 2).alias("g"))
+    got = ordering.shuffled(rows, rng.uniform("s", F.col("id")), [F.col("id")], "n", F.col("g"), buckets=7)
+    want = sorted(range(500), key=lambda i: (i % 2, rng.number("s", i), i))
+    assert [i for _, i in values(got, "n", "id")] == want and got.columns == ["id", "g", "n"]
+
+
+def test_cache_plans_share_out_what_the_cache_holds(spark):
+    uses = spark.createDataFrame([(g, u, 10 * u + g, 1.0 if g else 0.5) for g in range(4) for u in range(6)], "global_index bigint, use_count bigint, position bigint, probability double")
+    rows = {(r["global_index"], r["use_count"]): r for r in pool.cache_plan(uses, 6, 4, 2).collect()}
+    held, carried, average = {g: 0 for g in range(4)}, 0.0, 1.0
+    for u in range(6):
+        for g in range(4):
+            p, r = (1.0 if g else 0.5), rows[g, u]
+            if held[g]:
+                assert r["status"] == "hit"
+                held[g] -= 1
+                continue
+            average = 0.01 * average + 0.99 * p
+            exact = p * 6 / 4 / average + carried
+            carried = exact - int(exact)
+            held[g] = min(int(exact), 2)
+            assert (r["status"], r["newly_cached"], r["dropped"]) == ("miss", held[g], max(0, 2 - int(exact)))
+
+
 def test_epochs_are_permutations(spark):
     rows = spark.range(50).withColumnRenamed("id", "global_index")
     got = values(pool.epochs(rows, 3, "s"), "epoch", "position", "global_index")
