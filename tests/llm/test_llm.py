@@ -266,6 +266,15 @@ def test_components_of_long_chains_and_stars(spark, broadcast, monkeypatch):
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 160)) and got[200] == 200 and got[300] == 300
 
 
+def test_hot_keys_are_joined_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 4)  # a key with over a quarter of the rows is hot
+    rows = spark.createDataFrame([(i, "hot" if i < 60 else f"k{i % 9}") for i in range(100)] + [(100, "alone")], "id int, k string")
+    side = rows.where("k <> 'alone'").groupBy("k").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    got = sorted(tuple(r) for r in common.hot_join(rows, side, "k", rows.count()).collect())
+    assert got == sorted((r["k"], r["id"], r["least"]) for r in rows.join(side, "k").collect())
+    assert common.hot_join(rows.where("false"), side, "k", 0).count() == 0
+
+
 # The pipeline's near-duplicate stage.
 def brute_alike(rows):
     sets = []
