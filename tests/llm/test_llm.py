@@ -256,6 +256,31 @@ def test_simhash_edges(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_a_small_graph_costs_the_driver_few_jobs(spark):
+    edges = spark.range(3000).select((F.col("id") * 7919 % 3001).alias("a"), ((F.col("id") + 1) * 7919 % 3001).alias("b"))  # one long chain
+    nodes = spark.range(-1, 3001).withColumnRenamed("id", "node")
+    spark.sparkContext.setJobGroup("small-graph", "")
+    try:
+        got = {r["node"]: r["component"] for r in common.components(nodes, edges).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: min(i, 0) for i in range(-1, 3001)}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("small-graph")) <= 12
+
+
+def test_least_reachable_nodes_of_random_graphs():
+    for seed in range(30):
+        g = np.random.default_rng(seed)
+        a, b = g.integers(0, 60, (2, 40))
+        near = {i: {i} for i in range(60)}
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            met = near[x] | near[y]
+            for z in met:
+                near[z] = met
+        node, least = common.least_reachable(a, b)
+        assert dict(zip(node.tolist(), least.tolist(), strict=True)) == {i: min(near[i]) for i in set(a.tolist()) | set(b.tolist())}
+
+
 @pytest.mark.parametrize("broadcast", [common.BROADCAST_EDGES, 0])
 def test_components_of_long_chains_and_stars(spark, broadcast, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_EDGES", broadcast)

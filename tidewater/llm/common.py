@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +15,8 @@ __all__ = ["bound_batches", "components", "hot_join", "id_remainder", "map_batch
 
 #: Rows of an Arrow batch and bytes it may take, so that very long texts don't meet in one batch.
 BATCH_BYTES = 4 << 20
-#: Edges, sixteen bytes each, of a graph whose nodes' least neighbours are broadcast; a larger graph's are joined by a shuffle.
+#: Edges, sixteen bytes each, of a graph that one task takes whole, or whose nodes' least neighbours are broadcast once
+#: steps have made it so small; a larger graph's are joined by a shuffle.
 BROADCAST_EDGES = 500_000
 #: A key with one of so many rows is hot: at most so many keys are, and their few rows are broadcast.
 HOT_SHARE = 2000
@@ -55,13 +60,41 @@ def hot_join(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFram
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node that it reaches) of every end of the edges."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low < high
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def whole_graph(edges: DataFrame) -> DataFrame:
+    """(a, component) of each end of the edges (a, b), bigints, worked out in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
+        if held:
+            node, least = least_reachable(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(least)], ["a", "component"])
+
+    return map_batches(edges.select("a", "b").coalesce(1), run, "a bigint, component bigint")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node reachable over edges (a, b), itself included.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014), each cut by a written table. What a step groups
-    is combined before it is shuffled, and what it joins is broadcast up to BROADCAST_EDGES edges; beyond, nodes of very
-    many neighbours are (hot_join). Nodes without an edge stay alone. Edges with a null or equal ends are ignored;
-    repeated edges count once.
+    A graph of up to BROADCAST_EDGES distinct edges of bigints is one task's: steps would cost the driver a hundred
+    plans. A larger one takes alternating large-star and small-star steps (Kiveris et al. 2014), each cut by a written
+    table. What a step groups is combined before it is shuffled, and what it joins is broadcast up to BROADCAST_EDGES
+    edges; beyond, nodes of very many neighbours are (hot_join). Nodes without an edge stay alone. Edges with a null or
+    equal ends are ignored; repeated edges count once.
     """
 
     def met(rows: DataFrame, side: DataFrame, total: int) -> DataFrame:
@@ -70,7 +103,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     now = edges.where("a is not null and b is not null and a <> b")
     now = stored(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen, total = None, now.count()
-    while True:
+    alone = total <= BROADCAST_EDGES and {kind for _, kind in now.dtypes} == {"bigint"}
+    while not alone:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         large = met(both.where("b > a"), least, total).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -82,6 +116,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if mark == seen:
             break
         now, seen, total = after, mark, mark[0]
-    found = now.groupBy("a").agg(F.min("b").alias("component"))
+    found = whole_graph(now) if alone else now.groupBy("a").agg(F.min("b").alias("component"))
     found = F.broadcast(found) if total <= BROADCAST_EDGES else found
     return nodes.join(found, nodes["node"] == found["a"], "left").select("node", F.coalesce("component", "node").alias("component"))
