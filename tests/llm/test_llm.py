@@ -1125,6 +1125,15 @@ def test_floors_rise_where_a_kind_is_too_many(spark, rows, monkeypatch):
         assert g["base_score"] == pytest.approx(other[i]["base_score"]) and g["n_known"] == other[i]["n_known"]
 
 
+def test_nothing_is_left_out_of_a_tree_that_is_not_bounded(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a b a b c", "a b c a b", "b a d", "c c c a b"] * 60)], "doc_id bigint, text string")
+    whole = by_id(suffixtree.scored(df))
+    for name, most in (("MAX_WORDS", 3), ("MAX_STATES", 2), ("MAX_PAIRS", 3)):
+        monkeypatch.setattr(suffixtree, name, most)
+    assert all(g["score"] == pytest.approx(whole[i]["score"], rel=1e-12) for i, g in by_id(suffixtree.scored(df)).items())
+    assert any(g["score"] != pytest.approx(whole[i]["score"]) for i, g in by_id(suffixtree.scored(df, bounded=True)).items())
+
+
 def test_suffix_tree_edges(odd, none):
     got = suffixtree.scored(odd).collect()
     assert len(got) == len(ODD) and all(r["n_tokens"] == 1 for r in got if r["doc_id"] in (1, 2, 3))

@@ -9,11 +9,11 @@ state's distribution is smoothed towards its suffix's, down to add-TENTH counts
 
 which sums to one. Scoring takes the longest state that ends at each token. Pairs count from two occurrences on.
 
-All counts cover every training document and the tree grows with them, up to what goes to the workers: MAX_WORDS
-words, MAX_STATES contexts and MAX_PAIRS pairs a depth, under thirty bytes each. Where a corpus has more of a kind, its
-least frequent are left out: the floor rises until the rest fit. A pair left out is in its state's smoothing mass, a
-word left out is in no context, but has its exact count all the same: each document's are joined with the table of
-counts. The README has the figures.
+All counts cover every training document and the tree grows with them: every word and pair of TWICE occurrences and
+every context of LEAST is in it, under thirty bytes each, on the driver and in each worker. The README has the figures.
+Only a caller who asks for a bounded tree gets at most MAX_WORDS words, MAX_STATES contexts and MAX_PAIRS pairs a depth:
+the floor rises until the rest fit, a pair left out is in its state's smoothing mass, and a word left out is in no
+context. Words that the tree lacks have their exact counts all the same: each document's are joined with the table.
 
 Nulls and edges: a null text is empty and has the end token alone; a null id counts as the empty text in the folds;
 repeated ids are scored row by row; very long texts are scored whole; with no training documents every probability is
@@ -41,6 +41,7 @@ DEPTH = 3
 LEAST, TWICE = 100, 2
 DIVERGENCE = 0.02
 MASS = 20.0
+#: Of a bounded tree.
 MAX_WORDS, MAX_STATES, MAX_PAIRS = 300_000, 200_000, 1_000_000
 #: The end token; no word has a line end in it.
 END = b"\n"
@@ -254,7 +255,7 @@ def pair_counts(ids: DataFrame, sent) -> DataFrame:
     return map_batches(ids, run, "key bigint, n int").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def fitted(spark: SparkSession, ids: DataFrame, tree: Tree, states: np.ndarray, total: np.ndarray) -> tuple[Depth, int]:
+def fitted(spark: SparkSession, ids: DataFrame, tree: Tree, states: np.ndarray, total: np.ndarray, bounded: bool) -> tuple[Depth, int]:
     """(the depth of the given candidates, with its pairs counted, the pairs' floor); nothing is tested yet."""
     none = np.zeros(0, np.int64)
     depth = Depth(states, total, np.zeros(len(states), bool), none, none, total.astype(np.float64), none)
@@ -262,8 +263,8 @@ def fitted(spark: SparkSession, ids: DataFrame, tree: Tree, states: np.ndarray,
         return depth, TWICE
     sent = spark.sparkContext.broadcast(Tree(tree.words, tree.unigrams, tree.n, tree.v, [*tree.depths, depth]))
     pairs = stored(pair_counts(ids, sent).where(F.col("n") >= TWICE), "pairs")
-    floor = floor_within(pairs, TWICE, MAX_PAIRS)
-    found = pairs.where(F.col("n") >= floor).toArrow()  # at most MAX_PAIRS rows
+    floor = floor_within(pairs, TWICE, MAX_PAIRS) if bounded else TWICE
+    found = pairs.where(F.col("n") >= floor).toArrow()
     keys, n = found["key"].to_numpy(), found["n"].to_numpy()
     order = np.argsort(keys)
     depth.entries, depth.counts = keys[order], n[order]
@@ -291,28 +292,29 @@ def most_frequent(n: np.ndarray, least: int, most: int) -> np.ndarray:
     return np.flatnonzero(n >= floor)
 
 
-def seeds(spark: SparkSession, counts: DataFrame) -> tuple[Tree, int]:
+def seeds(spark: SparkSession, counts: DataFrame, bounded: bool = False) -> tuple[Tree, int]:
     """(a tree without states, the words' floor) of word_counts."""
     row = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    floor = floor_within(counts, TWICE, MAX_WORDS)
-    found = counts.where(F.col("n") >= floor).toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # at most MAX_WORDS rows
+    floor = floor_within(counts, TWICE, MAX_WORDS) if bounded else TWICE
+    found = counts.where(F.col("n") >= floor).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     return Tree(found["word"].to_pylist(), found["n"].to_numpy().astype(np.int64), row["n"] or 0, row["v"], []), floor
 
 
-def grown(spark: SparkSession, tree: Tree, ids: DataFrame, depth: int = DEPTH) -> Tree:
+def grown(spark: SparkSession, tree: Tree, ids: DataFrame, depth: int = DEPTH, bounded: bool = False) -> Tree:
     """The tree with states of up to depth words, from a column of training texts' ids."""
     end = tree.words.index(END) if END in tree.words else -1
-    own = most_frequent(tree.unigrams, LEAST, MAX_STATES)
+    most = lambda n: MAX_STATES if bounded else len(n)
+    own = most_frequent(tree.unigrams, LEAST, most(tree.unigrams))
     keys, total = own[own != end].astype(np.int64), tree.unigrams[own[own != end]]
     for k in range(1, depth + 1):
-        d, floor = fitted(spark, ids, tree, keys, total)
+        d, floor = fitted(spark, ids, tree, keys, total, bounded)
         tree.depths.append(d)
         if not len(keys):
             break
         d.kept = divergent(tree, k)
         for j in range(k, 1, -1):  # a retained state's suffixes are retained
             tree.depths[j - 2].kept[tree.suffix(j, np.flatnonzero(tree.depths[j - 1].kept))] = True
-        own = most_frequent(d.counts, max(LEAST, floor), MAX_STATES)
+        own = most_frequent(d.counts, max(LEAST, floor), most(d.counts))
         state, word = d.entries[own] // len(tree.words), d.entries[own] % len(tree.words)
         shorter = tree.suffix(k, state)
         tail = tree.extended(k, shorter, word) if k > 1 else d.find(word)
@@ -325,22 +327,22 @@ def grown(spark: SparkSession, tree: Tree, ids: DataFrame, depth: int = DEPTH) -
     return tree
 
 
-def learn(spark: SparkSession, texts: DataFrame, counts: DataFrame, depth: int = DEPTH) -> Tree:
+def learn(spark: SparkSession, texts: DataFrame, counts: DataFrame, depth: int = DEPTH, bounded: bool = False) -> Tree:
     """The tree of a text column whose word_counts are given."""
-    tree, _ = seeds(spark, counts)
+    tree, _ = seeds(spark, counts, bounded)
     named = texts.select(F.lit("1").alias("doc_id"), F.col(texts.columns[0]).alias("text"))
     ids = stored(numbered_texts(named, spark.sparkContext.broadcast(tree), "doc_id", "text", 1, 1), "ids")
-    return grown(spark, tree, ids.select("ids"), depth)
+    return grown(spark, tree, ids.select("ids"), depth, bounded)
 
 
-def scored(df: DataFrame, folds: int = 10, held: int = 0, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
+def scored(df: DataFrame, folds: int = 10, held: int = 0, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, bounded: bool = False) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row, learned from those not held out."""
     spark = df.sparkSession
     texts = df.where(id_remainder(F.col(id_col), folds) != held).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = stored(word_counts(texts), "words")
-    tree, floor = seeds(spark, counts)
+    tree, floor = seeds(spark, counts, bounded)
     numbered = stored(numbered_texts(df, spark.sparkContext.broadcast(tree), id_col, text_col, folds, held), "ids")  # texts are split once more, then never again
-    tree = grown(spark, tree, numbered.where("not held_out").select("ids"), depth)
+    tree = grown(spark, tree, numbered.where("not held_out").select("ids"), depth, bounded)
     sent, kind = spark.sparkContext.broadcast(tree), df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
