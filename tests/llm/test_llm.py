@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import inspect
 import math
+import pickle
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -1134,6 +1135,32 @@ def test_nothing_is_left_out_of_a_tree_that_is_not_bounded(spark, monkeypatch):
     assert any(g["score"] != pytest.approx(whole[i]["score"]) for i, g in by_id(suffixtree.scored(df, bounded=True)).items())
 
 
+def test_pairs_are_neither_broadcast_nor_collected(spark, monkeypatch):
+    """Two hundred words, each after each: forty thousand pairs of few contexts."""
+    df = spark.range(1200).select(F.col("id").alias("doc_id"), F.array_join(F.expr("transform(sequence(0, 99), j -> concat('w', pmod(xxhash64(id, j), 200)))"), " ").alias("text"))
+    sent = []
+    send = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: (sent.append(len(pickle.dumps(value))), send(self, value))[1])
+    tree = suffixtree.seeds(spark, suffixtree.word_counts(df.select("text")))[0]
+    got = by_id(suffixtree.scored(df))
+    assert len(got) == 1200 and len(tree.words) == 201 and sent and max(sent) < 50_000  # sixteen bytes a pair were 640,000
+    plain = PlainTree([suffixtree.tokens(r["text"]) for r in df.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 10], suffixtree.DEPTH)
+    assert sum(map(len, plain.next.values())) > 30_000
+    for r in df.where("doc_id < 50").collect():
+        assert got[r["doc_id"]]["score"] == pytest.approx(plain.scored(suffixtree.tokens(r["text"])), rel=1e-9)
+
+
+def test_scores_of_many_chunks(spark, rows, monkeypatch):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = by_id(suffixtree.scored(df, bounded=True))  # which is all of so small a corpus
+    monkeypatch.setattr(suffixtree, "HELD_TOKENS", 1000)
+    got = by_id(suffixtree.scored(df.repartition(3)))
+    assert len(got) == len(rows)
+    for i, g in got.items():
+        assert {k: v for k, v in g.items() if "score" not in k} == {k: v for k, v in whole[i].items() if "score" not in k}
+        assert (g["score"], g["base_score"]) == (pytest.approx(whole[i]["score"], rel=1e-9), pytest.approx(whole[i]["base_score"], rel=1e-9))
+
+
 def test_suffix_tree_edges(odd, none):
     got = suffixtree.scored(odd).collect()
     assert len(got) == len(ODD) and all(r["n_tokens"] == 1 for r in got if r["doc_id"] in (1, 2, 3))

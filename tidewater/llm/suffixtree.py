@@ -10,10 +10,16 @@ state's distribution is smoothed towards its suffix's, down to add-TENTH counts
 which sums to one. Scoring takes the longest state that ends at each token. Pairs count from two occurrences on.
 
 All counts cover every training document and the tree grows with them: every word and pair of TWICE occurrences and
-every context of LEAST is in it, under thirty bytes each, on the driver and in each worker. The README has the figures.
-Only a caller who asks for a bounded tree gets at most MAX_WORDS words, MAX_STATES contexts and MAX_PAIRS pairs a depth:
-the floor rises until the rest fit, a pair left out is in its state's smoothing mass, and a word left out is in no
-context. Words that the tree lacks have their exact counts all the same: each document's are joined with the table.
+every context of LEAST is in it. No machine holds its pairs. Texts are numbered in chunks of some HELD_TOKENS tokens; a
+chunk sends its distinct pairs to parts by their context's last word (frequent ones are dealt over several parts by the
+next word), so that a pair and its suffixes' pairs meet; a part adds the counts up and sends each chunk those of its own
+pairs of TWICE occurrences or more, by which the chunk's texts are scored. Words of TWICE occurrences and contexts, which
+a corpus has some hundredth of its tokens of, are on the driver and in the workers. The README has the figures.
+
+learn gives a whole tree in one piece, for small corpora and for a look inside. A caller who asks for a bounded tree gets
+such a one of at most MAX_WORDS words, MAX_STATES contexts and MAX_PAIRS pairs a depth: the floor rises until the rest
+fit, a pair left out is in its state's smoothing mass, and a word left out is in no context. Words that a tree lacks have
+their exact counts all the same: held-out documents' are joined with the table, a training document's own has one.
 
 Nulls and edges: a null text is empty and has the end token alone; a null id counts as the empty text in the folds;
 repeated ids are scored row by row; very long texts are scored whole; with no training documents every probability is
@@ -25,7 +31,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +53,8 @@ MAX_WORDS, MAX_STATES, MAX_PAIRS = 300_000, 200_000, 1_000_000
 END = b"\n"
 #: Distinct words and bytes of words, or tokens, that a task holds before it sends counts.
 HELD_WORDS, HELD_BYTES, HELD_TOKENS = 300_000, 16 << 20, 2_000_000
+#: What a part's rows are: its pairs with their counts, their sums by state, those of LEAST or more, and a chunk's own ones.
+PAIRS, SUMS, OFTEN, BACK = range(4)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -279,10 +287,14 @@ def divergent(tree: Tree, k: int) -> np.ndarray:
     q = tree.probability(k - 1, tree.suffix(k, state), word)
     p = (d.counts + (MASS + d.rest[state]) * q) / (d.total[state] + MASS)
     gain = np.bincount(state, p * np.log(p / q), len(d.states)).astype(np.float64)
+    return diverges(d, gain, np.bincount(state, q, len(d.states)))
+
+
+def diverges(d: Depth, gain: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Whether a state is retained, by the sums over its pairs of their gain and their probability under its suffix."""
     rest = (MASS + d.rest) / (d.total + MASS)  # the other words share q, scaled by this
-    seen = np.bincount(state, q, len(d.states))
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain += np.where(rest > 0, np.maximum(1 - seen, 0) * rest * np.log(rest), 0)
+        gain = gain + np.where(rest > 0, np.maximum(1 - seen, 0) * rest * np.log(rest), 0)
     return gain >= DIVERGENCE
 
 
@@ -335,14 +347,26 @@ def learn(spark: SparkSession, texts: DataFrame, counts: DataFrame, depth: int =
     return grown(spark, tree, ids.select("ids"), depth, bounded)
 
 
-def scored(df: DataFrame, folds: int = 10, held: int = 0, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, bounded: bool = False) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row, learned from those not held out."""
+def trained(df: DataFrame, folds: int, held: int, id_col: str, text_col: str) -> DataFrame:
+    """The texts that are learned from."""
+    return df.where(id_remainder(F.col(id_col), folds) != held).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def summed(done: DataFrame, words: DataFrame, seldom: DataFrame, tree: Tree) -> DataFrame:
+    """The result, of documents' (key, ..., base, score) by the tree and (key, word, times) of words that it lacks."""
+    looked = words.join(seldom, "word", "left").select("key", "times", F.coalesce("n", F.lit(0)).alias("n"))
+    sums = looked.groupBy("key").agg(F.sum(F.col("times") * F.log10((F.col("n") + F.lit(TENTH)) / F.lit(tree.denominator))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("also"))
+    more = F.coalesce("more", F.lit(0.0))
+    return done.join(sums, "key", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(tree.n).cast("bigint").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+
+
+def scored_bounded(df: DataFrame, folds: int, held: int, id_col: str, text_col: str, depth: int) -> DataFrame:
+    """scored by a tree that each worker holds."""
     spark = df.sparkSession
-    texts = df.where(id_remainder(F.col(id_col), folds) != held).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = stored(word_counts(texts), "words")
-    tree, floor = seeds(spark, counts, bounded)
+    counts = stored(word_counts(trained(df, folds, held, id_col, text_col)), "words")
+    tree, floor = seeds(spark, counts, True)
     numbered = stored(numbered_texts(df, spark.sparkContext.broadcast(tree), id_col, text_col, folds, held), "ids")  # texts are split once more, then never again
-    tree = grown(spark, tree, numbered.where("not held_out").select("ids"), depth, bounded)
+    tree = grown(spark, tree, numbered.where("not held_out").select("ids"), depth, True)
     sent, kind = spark.sparkContext.broadcast(tree), df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,11 +385,306 @@ def scored(df: DataFrame, folds: int = 10, held: int = 0, id_col: str = "doc_id"
 
     done = map_batches(numbered.select("key", "doc_id", "held_out", "ids"), run, f"key bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
     words = numbered.select("key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("key", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    seldom = counts.where(F.col("n") < floor)
-    looked = words.join(seldom, "word", "left").select("key", "times", F.coalesce("n", F.lit(0)).alias("n"))
-    sums = looked.groupBy("key").agg(F.sum(F.col("times") * F.log10((F.col("n") + F.lit(TENTH)) / F.lit(tree.denominator))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("also"))
-    more = F.coalesce("more", F.lit(0.0))
-    return done.join(sums, "key", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(tree.n).cast("bigint").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    return summed(done, words, counts.where(F.col("n") < floor), tree)
+
+
+@dataclass
+class Contexts:
+    """A tree's states without its pairs: lists by length, arrays by state. Pairs' keys are state * words + next word."""
+
+    words: int
+    top: np.ndarray  # each word's state of length one, or -1; the last place is that of -1, for words that the tree lacks
+    spread: np.ndarray  # by state of length one: how many parts its pairs are dealt over
+    keys: list[np.ndarray]
+    total: list[np.ndarray] = field(default_factory=list)
+    rest: list[np.ndarray] = field(default_factory=list)
+    kept: list[np.ndarray] = field(default_factory=list)
+    root: np.ndarray | None = None  # probability of each word without a context
+
+    def suffix(self, k: int, state: np.ndarray) -> np.ndarray:
+        return self.keys[k - 1][state] % len(self.keys[k - 2])
+
+    def walk(self, ids: np.ndarray) -> Iterator[np.ndarray]:
+        """The state before each token of whole texts one after another, or -1, of each length."""
+        state = np.concatenate([[-1], self.top[ids[:-1]]]) if len(ids) else ids
+        yield state
+        for k in range(2, len(self.keys) + 1):
+            on = np.flatnonzero(state[k:] >= 0) + k
+            found = lookup(self.keys[k - 1], ids[on - k] * len(self.keys[k - 2]) + state[on])
+            state = np.full(len(ids), -1)
+            state[on] = found
+            yield state
+
+    def part(self, k: int, keys: np.ndarray, parts: int) -> np.ndarray:
+        """The part of each pair: the same for a pair and those of its suffixes."""
+        state, word = keys // self.words, keys % self.words
+        for j in range(k, 1, -1):
+            state = self.suffix(j, state)
+        mixed = state.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (word % self.spread[state]).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+
+
+def packed(a: np.ndarray) -> bytes:
+    """Whole numbers, compressed by the place of their bytes."""
+    return len(a).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n).T).reshape(-1).view("<i8") if n else np.zeros(0, np.int64)
+
+
+def rising(data: bytes) -> np.ndarray:
+    """Of packed differences."""
+    return np.cumsum(unpacked(data))
+
+
+def runs(a: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers, none below zero, begins."""
+    return np.flatnonzero(np.diff(a, prepend=-1))
+
+
+def numbered_chunks(df: DataFrame, sent, id_col: str, text_col: str, folds: int, held: int) -> DataFrame:
+    """(chunk, doc_id, held_out, size, ids, at, word, times): a row for some HELD_TOKENS tokens of whole texts.
+
+    size are the texts' tokens and ids their numbers, packed; word are those that the tree lacks, of held-out texts, and
+    at is their text's place in the chunk.
+    """
+    slim = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (id_remainder(F.col(id_col), folds) == held).alias("held_out"))
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def listed(a: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, chunk, docs, outs, ids, size, at, rare, times = sent.value, TaskContext.get().partitionId() << 12, [], [], [], [], [], [], []
+
+        def row() -> pa.RecordBatch:
+            columns = [pa.array([chunk]), listed(pa.concat_arrays(docs)), pa.array([packed(np.asarray(outs, np.int64))]), pa.array([packed(np.asarray(size, np.int64))]), pa.array([packed(np.concatenate(ids))])]
+            columns += [listed(pa.array(at, pa.int32())), listed(pa.array(rare, pa.binary())), listed(pa.array(times, pa.int32()))]
+            for held_ in (docs, outs, ids, size, at, rare, times):
+                held_.clear()
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_id", "held_out", "size", "ids", "at", "word", "times"])
+
+        tokens_ = 0
+        for batch in batches:
+            for i, (text, out) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                words = tokens(text)
+                found = own.ids(words)
+                if out:
+                    seen = Counter(words[j] for j in np.flatnonzero(found < 0).tolist())
+                    at += [len(size)] * len(seen)
+                    rare += seen
+                    times += seen.values()
+                docs.append(batch.column(0).slice(i, 1))
+                outs.append(out)
+                ids.append(found.astype(np.int32))
+                size.append(len(words))
+                tokens_ += len(words)
+                if tokens_ > HELD_TOKENS:
+                    yield row()
+                    chunk, tokens_ = chunk + 1, 0
+        if size:
+            yield row()
+
+    return map_batches(slim, run, f"chunk bigint, doc_id array<{kind}>, held_out binary, size binary, ids binary, at array<int>, word array<binary>, times array<int>")
+
+
+def parted_pairs(chunks: DataFrame, sent, parts: int) -> DataFrame:
+    """(part, chunk, keys, n): each chunk's distinct pairs of the longest states and how often training texts have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            for chunk, out, size, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = unpacked(ids)
+                *_, state = own.walk(ids)
+                good = np.flatnonzero((state >= 0) & (ids >= 0))
+                if not len(good):
+                    continue
+                keys, n = np.unique((state[good] * own.words + ids[good]) * 2 + np.repeat(unpacked(out), unpacked(size))[good], return_counts=True)
+                n[keys % 2 == 1] = 0
+                keys = keys // 2
+                first = runs(keys)
+                keys, n = keys[first], np.add.reduceat(n, first)
+                part = own.part(len(own.keys), keys, parts)
+                order = np.argsort(part, kind="stable")
+                first = runs(part[order])
+                each = np.split(order, first[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(part[order][first]), pa.array([chunk] * len(each)), pa.array([packed(np.diff(keys[x], prepend=0)) for x in each]), pa.array([packed(n[x]) for x in each])], ["part", "chunk", "keys", "n"])
+
+    return map_batches(chunks.select("chunk", "held_out", "size", "ids"), run, "part int, chunk bigint, keys binary, n binary")
+
+
+def merged_pairs(rows: DataFrame, words: int) -> DataFrame:
+    """(part, kind, chunk, keys, n) of parted pairs whose parts have come together."""
+
+    def merged(part: int, found: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        keys, n = [rising(x) for _, x, _ in found], np.concatenate([unpacked(x) for *_, x in found])
+        chunk, keys = np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in keys]), np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        keys, n, chunk = keys[order], n[order], chunk[order]
+        first = runs(keys)
+        n = np.add.reduceat(n, first)
+        times = np.diff(first, append=len(keys))
+        good = n >= TWICE
+        chunk, times, keys, n = chunk[np.repeat(good, times)], times[good], keys[first[good]], n[good]
+        state = keys // words
+        first = runs(state)
+        out = [(PAIRS, -1, keys, n), (SUMS, -1, state[first], np.add.reduceat(n, first) if len(n) else n), (OFTEN, -1, keys[n >= LEAST], n[n >= LEAST])]
+        order, pair = np.argsort(chunk, kind="stable"), np.repeat(np.arange(len(keys)), times)
+        for x in np.split(order, runs(chunk[order])[1:]) if len(order) else ():
+            out.append((BACK, found[chunk[x[0]]][0], keys[pair[x]], n[pair[x]]))
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int32()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([packed(np.diff(x[2], prepend=0)) for x in out]), pa.array([packed(x[3]) for x in out])], ["part", "kind", "chunk", "keys", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(part, []).append(row)
+        while held:
+            yield merged(*held.popitem())
+
+    return map_batches(rows, run, "part int, kind int, chunk bigint, keys binary, n binary")
+
+
+def state_sums(pairs: DataFrame, states: int) -> np.ndarray:
+    """The counts of each state's pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(rising(keys)), pa.array(unpacked(n))], ["state", "n"])
+
+    found = map_batches(pairs.where(F.col("kind") == SUMS).select("keys", "n"), run, "state bigint, n bigint").groupBy("state").agg(F.sum("n").alias("n")).toArrow()  # a row a state
+    return np.bincount(found["state"].to_numpy(), found["n"].to_numpy(), states)
+
+
+def gains(pairs: list[DataFrame], sent, parts: int) -> DataFrame:
+    """(length, state, gain, seen) of parts: how far pairs take a state from its suffix, and what the suffix gives to them."""
+    rows = [x.where(F.col("kind") == PAIRS).select("part", F.lit(k).alias("length"), "keys", "n") for k, x in enumerate(pairs, 1)]
+    both = rows[0]
+    for x in rows[1:]:
+        both = both.union(x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = sent.value, {}
+        for batch in batches:
+            for part, length, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(part, []).append((length, *row))
+        while held:
+            _, found = held.popitem()
+            shorter = p = None
+            for k, keys, n in sorted(found):
+                keys, n = rising(keys), unpacked(n)
+                state, word = keys // own.words, keys % own.words
+                q = own.root[word] if k == 1 else p[np.searchsorted(shorter, own.suffix(k, state) * own.words + word)]  # a suffix has all pairs of its state
+                p = (n + (MASS + own.rest[k - 1][state]) * q) / (own.total[k - 1][state] + MASS)
+                shorter, first = keys, runs(state)
+                if len(first):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), k, np.int32)), pa.array(state[first]), pa.array(np.add.reduceat(p * np.log(p / q), first)), pa.array(np.add.reduceat(q, first))], ["length", "state", "gain", "seen"])
+
+    return map_batches(both.repartition(parts, "part"), run, "length int, state bigint, gain double, seen double").groupBy("length", "state").agg(F.sum("gain").alias("gain"), F.sum("seen").alias("seen"))
+
+
+def parted(spark: SparkSession, tree: Tree, chunks: DataFrame, depth: int) -> tuple[Contexts, list[DataFrame]]:
+    """(the tree's contexts, merged pairs by length); the tree's depths get the states alone."""
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts, words, none = 2 * shuffles, len(tree.words), np.zeros(0, np.int64)
+    end = tree.words.index(END) if END in tree.words else -1
+    own = np.flatnonzero(tree.unigrams >= LEAST)
+    keys, total = own[own != end].astype(np.int64), tree.unigrams[own[own != end]]
+    top = np.full(words + 1, -1, np.int64)
+    top[keys] = np.arange(len(keys))
+    contexts, pairs = Contexts(words, top, total * parts // max(tree.n, 1) + 1, []), []
+    for k in range(1, depth + 1):
+        if not len(keys):
+            break
+        tree.depths.append(d := Depth(keys, total, np.zeros(len(keys), bool), none, none, total.astype(np.float64), none))
+        contexts = replace(contexts, keys=[*contexts.keys, keys], total=[*contexts.total, total])
+        sent = spark.sparkContext.broadcast(replace(contexts, total=[]))
+        pairs.append(stored(merged_pairs(parted_pairs(chunks, sent, parts).repartition(shuffles, "part"), words), "pairs"))
+        sent.destroy()
+        d.rest = total - state_sums(pairs[-1], len(keys))
+        often = pairs[-1].where(F.col("kind") == OFTEN).select("keys", "n").toArrow()  # at most a hundredth of the tokens
+        key, n = (np.concatenate([none, *map(f, often[c].to_pylist())]) for c, f in (("keys", rising), ("n", unpacked)))
+        state, word = key // words, key % words
+        tail = tree.extended(k, tree.suffix(k, state), word) if k > 1 else d.find(word)
+        good = (tail >= 0) & (word != end)
+        keys, total = tree.first(k, state[good]) * len(d.states) + tail[good], n[good]
+        order = np.argsort(keys)
+        keys, total = keys[order], total[order]
+    if not pairs:
+        return contexts, pairs
+    contexts = replace(contexts, rest=[d.rest for d in tree.depths], root=(tree.unigrams + TENTH) / tree.denominator)
+    sent = spark.sparkContext.broadcast(contexts)
+    found = gains(pairs, sent, shuffles).toArrow()  # a row a state
+    sent.destroy()
+    length, state = found["length"].to_numpy(), found["state"].to_numpy()
+    for k, d in enumerate(tree.depths, 1):
+        gain, seen = (np.bincount(state[length == k], found[c].to_numpy()[length == k], len(d.states)) for c in ("gain", "seen"))
+        d.kept = diverges(d, gain, seen)
+    for k in range(len(tree.depths), 1, -1):  # a retained state's suffixes are retained
+        tree.depths[k - 2].kept[tree.suffix(k, np.flatnonzero(tree.depths[k - 1].kept))] = True
+    return replace(contexts, kept=[d.kept for d in tree.depths]), pairs
+
+
+def chunk_scores(chunks: DataFrame, pairs: list[DataFrame], sent, seldom: float, kind: str) -> DataFrame:
+    """(key, doc_id, held_out, n_tokens, n_known, base, score) of chunks' texts, which meet their own pairs; seldom is the log10 of a training text's word that the tree lacks."""
+    rows = chunks.select("chunk", F.lit(len(pairs) + 1).alias("length"), F.col("ids").alias("keys"), F.col("size").alias("n"), "held_out", "doc_id")
+    for k, x in enumerate(pairs, 1):
+        rows = rows.union(x.where(F.col("kind") == BACK).select("chunk", F.lit(k), "keys", "n", F.lit(None).cast("binary"), F.lit(None).cast(f"array<{kind}>")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = sent.value, [[] for _ in pairs_]
+        for batch in batches:
+            for i, (chunk, length, keys, n, out) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True)):
+                if length <= len(held):
+                    held[length - 1].append((keys, n))
+                    continue
+                ids, size, out = unpacked(keys), unpacked(n), unpacked(out)
+                known = ids >= 0
+                p = np.ones(len(ids))
+                p[known] = own.root[ids[known]]
+                base = np.log10(p)
+                for k, state in enumerate(own.walk(ids) if held else (), 1):
+                    entries, counts = (np.concatenate([np.zeros(0, np.int64), *(f(x[j]) for x in held[k - 1])]) for j, f in ((0, rising), (1, unpacked)))
+                    order = np.argsort(entries, kind="stable")
+                    on = np.flatnonzero(state >= 0)
+                    on = on[own.kept[k - 1][state[on]]]
+                    s, x = state[on], ids[on]
+                    at = lookup(entries[order], np.where(x >= 0, s * own.words + x, -1))
+                    m = np.where(at >= 0, counts[order][at], 0) if len(counts) else 0
+                    p[on] = (m + (MASS + own.rest[k - 1][s]) * p[on]) / (own.total[k - 1][s] + MASS)
+                held = [[] for _ in held]
+                start = np.cumsum(size) - size
+                rare = np.where(out == 1, 0, np.add.reduceat(~known, start, dtype=np.int64))
+                n_known, base, score = np.add.reduceat(known, start, dtype=np.int64) + rare, np.add.reduceat(base, start) + rare * seldom, np.add.reduceat(np.log10(p), start) + rare * seldom
+                docs = batch.column(5)
+                columns = [pa.array((chunk << 31) + np.arange(len(size))), docs.slice(i, 1).flatten(), pa.array(out == 1), *map(pa.array, (size, n_known, base, score))]
+                done = pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+                yield from (done.slice(lo, 10_000) for lo in range(0, len(size), 10_000))
+
+    pairs_ = range(len(pairs))
+    return map_batches(rows.repartition("chunk").sortWithinPartitions("chunk", "length"), run, f"key bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
+
+
+def scored(df: DataFrame, folds: int = 10, held: int = 0, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, bounded: bool = False) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row, learned from those not held out."""
+    if bounded:
+        return scored_bounded(df, folds, held, id_col, text_col, depth)
+    spark = df.sparkSession
+    counts = stored(word_counts(trained(df, folds, held, id_col, text_col)), "words")
+    tree, _ = seeds(spark, counts)
+    sent = spark.sparkContext.broadcast(tree)
+    chunks = stored(numbered_chunks(df, sent, id_col, text_col, folds, held), "ids")  # texts are split once more, then never again
+    sent.destroy()
+    contexts, pairs = parted(spark, tree, chunks, depth)
+    contexts = replace(contexts, root=(tree.unigrams + TENTH) / tree.denominator)
+    done = chunk_scores(chunks, pairs, spark.sparkContext.broadcast(contexts), math.log10((1 + TENTH) / tree.denominator), df.schema[id_col].dataType.simpleString())
+    words = chunks.select("chunk", F.explode(F.arrays_zip("at", "word", "times")).alias("x")).select((F.shiftleft("chunk", 31) + F.col("x.at")).alias("key"), "x.word", "x.times")
+    return summed(done, words, counts.where(F.col("n") < TWICE), tree)
 
 
 def perplexity(log10_score: float, n_tokens: int) -> float:
