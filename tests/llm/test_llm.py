@@ -1161,6 +1161,21 @@ def test_scores_of_many_chunks(spark, rows, monkeypatch):
         assert (g["score"], g["base_score"]) == (pytest.approx(whole[i]["score"], rel=1e-9), pytest.approx(whole[i]["base_score"], rel=1e-9))
 
 
+def test_rare_words_are_not_broadcast(spark, monkeypatch):
+    """Two words in each document, one of 90 in every second one, 3000 of some twenty occurrences and 42,000 of one."""
+    word = "concat_ws(' ', 'so', 'then', if(id % 2 = 0, concat('m', id % 90), 'no'), concat_ws(' ', transform(sequence(1, 10), j -> concat('a', pmod(xxhash64(id, j), 3000)))), concat_ws(' ', transform(sequence(1, 7), j -> concat('b', id * 7 + j))))"
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.expr(word).alias("text"))
+    whole = by_id(suffixtree.scored(df, bounded=True))  # its words are all of two occurrences or more
+    sent = []
+    send = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: (sent.append(len(pickle.dumps(value))), send(self, value))[1])
+    monkeypatch.setattr(suffixtree, "MAX_WORDS", 100)
+    got = by_id(suffixtree.scored(df))
+    assert sent and max(sent) < 20_000  # with all words of two occurrences 41,000 and more
+    for i, g in whole.items():
+        assert (got[i]["n_known"], got[i]["score"], got[i]["base_score"]) == (g["n_known"], pytest.approx(g["score"], rel=1e-9), pytest.approx(g["base_score"], rel=1e-9))
+
+
 def test_suffix_tree_edges(odd, none):
     got = suffixtree.scored(odd).collect()
     assert len(got) == len(ODD) and all(r["n_tokens"] == 1 for r in got if r["doc_id"] in (1, 2, 3))

@@ -13,13 +13,13 @@ All counts cover every training document and the tree grows with them: every wor
 every context of LEAST is in it. No machine holds its pairs. Texts are numbered in chunks of some HELD_TOKENS tokens; a
 chunk sends its distinct pairs to parts by their context's last word (frequent ones are dealt over several parts by the
 next word), so that a pair and its suffixes' pairs meet; a part adds the counts up and sends each chunk those of its own
-pairs of TWICE occurrences or more, by which the chunk's texts are scored. Words of TWICE occurrences and contexts, which
-a corpus has some hundredth of its tokens of, are on the driver and in the workers. The README has the figures.
+pairs of TWICE occurrences or more, by which the chunk's texts are scored. Contexts, and the MAX_WORDS most frequent words
+(but all of LEAST occurrences, which contexts consist of), are on the driver and in the workers; a chunk's other words get
+their numbers and counts by a join with the table of counts. The README has the figures.
 
 learn gives a whole tree in one piece, for small corpora and for a look inside. A caller who asks for a bounded tree gets
 such a one of at most MAX_WORDS words, MAX_STATES contexts and MAX_PAIRS pairs a depth: the floor rises until the rest
-fit, a pair left out is in its state's smoothing mass, and a word left out is in no context. Words that a tree lacks have
-their exact counts all the same: held-out documents' are joined with the table, a training document's own has one.
+fit, a pair left out is in its state's smoothing mass, and a word left out is in no context, but has its exact count.
 
 Nulls and edges: a null text is empty and has the end token alone; a null id counts as the empty text in the folds;
 repeated ids are scored row by row; very long texts are scored whole; with no training documents every probability is
@@ -39,7 +39,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import id_remainder, map_batches, stored
+from tidewater.llm.common import id_remainder, map_batches, new_path, stored
+from tidewater.operators.ordering import arrivals
+from tidewater.storage import removed
 
 TENTH = 0.1
 DEPTH = 3
@@ -47,7 +49,7 @@ DEPTH = 3
 LEAST, TWICE = 100, 2
 DIVERGENCE = 0.02
 MASS = 20.0
-#: Of a bounded tree.
+#: Of a bounded tree; words also of those that are broadcast where the tree is whole.
 MAX_WORDS, MAX_STATES, MAX_PAIRS = 300_000, 200_000, 1_000_000
 #: The end token; no word has a line end in it.
 END = b"\n"
@@ -304,10 +306,10 @@ def most_frequent(n: np.ndarray, least: int, most: int) -> np.ndarray:
     return np.flatnonzero(n >= floor)
 
 
-def seeds(spark: SparkSession, counts: DataFrame, bounded: bool = False) -> tuple[Tree, int]:
+def seeds(spark: SparkSession, counts: DataFrame, bounded: bool = False, floor: int = TWICE) -> tuple[Tree, int]:
     """(a tree without states, the words' floor) of word_counts."""
     row = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    floor = floor_within(counts, TWICE, MAX_WORDS) if bounded else TWICE
+    floor = floor_within(counts, TWICE, MAX_WORDS) if bounded else floor
     found = counts.where(F.col("n") >= floor).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     return Tree(found["word"].to_pylist(), found["n"].to_numpy().astype(np.int64), row["n"] or 0, row["v"], []), floor
 
@@ -392,21 +394,22 @@ def scored_bounded(df: DataFrame, folds: int, held: int, id_col: str, text_col:
 class Contexts:
     """A tree's states without its pairs: lists by length, arrays by state. Pairs' keys are state * words + next word."""
 
-    words: int
-    top: np.ndarray  # each word's state of length one, or -1; the last place is that of -1, for words that the tree lacks
+    words: int  # over all numbers of words; those of the tree's words are the least
+    top: np.ndarray  # each of the tree's words' state of length one, or -1; the last place is that of all others
     spread: np.ndarray  # by state of length one: how many parts its pairs are dealt over
     keys: list[np.ndarray]
     total: list[np.ndarray] = field(default_factory=list)
     rest: list[np.ndarray] = field(default_factory=list)
     kept: list[np.ndarray] = field(default_factory=list)
-    root: np.ndarray | None = None  # probability of each word without a context
+    root: np.ndarray | None = None  # probability of each of the tree's words without a context
+    denominator: float = 1.0
 
     def suffix(self, k: int, state: np.ndarray) -> np.ndarray:
         return self.keys[k - 1][state] % len(self.keys[k - 2])
 
     def walk(self, ids: np.ndarray) -> Iterator[np.ndarray]:
         """The state before each token of whole texts one after another, or -1, of each length."""
-        state = np.concatenate([[-1], self.top[ids[:-1]]]) if len(ids) else ids
+        state = np.concatenate([[-1], self.top[np.where(ids[:-1] < len(self.top) - 1, ids[:-1], -1).clip(-1)]]) if len(ids) else ids
         yield state
         for k in range(2, len(self.keys) + 1):
             on = np.flatnonzero(state[k:] >= 0) + k
@@ -446,37 +449,29 @@ def runs(a: np.ndarray) -> np.ndarray:
 
 
 def numbered_chunks(df: DataFrame, sent, id_col: str, text_col: str, folds: int, held: int) -> DataFrame:
-    """(chunk, doc_id, held_out, size, ids, at, word, times): a row for some HELD_TOKENS tokens of whole texts.
+    """(chunk, doc_id, held_out, size, ids, lacking): a row for some HELD_TOKENS tokens of whole texts.
 
-    size are the texts' tokens and ids their numbers, packed; word are those that the tree lacks, of held-out texts, and
-    at is their text's place in the chunk.
+    size are the texts' tokens and ids their numbers, packed; -1 and below tell places in lacking, the chunk's words that
+    the tree lacks.
     """
     slim = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (id_remainder(F.col(id_col), folds) == held).alias("held_out"))
-    kind = df.schema[id_col].dataType.simpleString()
-
-    def listed(a: pa.Array) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, chunk, docs, outs, ids, size, at, rare, times = sent.value, TaskContext.get().partitionId() << 12, [], [], [], [], [], [], []
+        own, chunk, docs, outs, ids, size, lacking = sent.value, TaskContext.get().partitionId() << 12, [], [], [], [], {}
 
         def row() -> pa.RecordBatch:
-            columns = [pa.array([chunk]), listed(pa.concat_arrays(docs)), pa.array([packed(np.asarray(outs, np.int64))]), pa.array([packed(np.asarray(size, np.int64))]), pa.array([packed(np.concatenate(ids))])]
-            columns += [listed(pa.array(at, pa.int32())), listed(pa.array(rare, pa.binary())), listed(pa.array(times, pa.int32()))]
-            for held_ in (docs, outs, ids, size, at, rare, times):
-                held_.clear()
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_id", "held_out", "size", "ids", "at", "word", "times"])
+            columns = [pa.array([chunk]), listed(pa.concat_arrays(docs)), *(pa.array([packed(x)]) for x in (np.asarray(outs, np.int64), np.asarray(size, np.int64), np.concatenate(ids))), listed(pa.array(list(lacking), pa.binary()))]
+            for x in (docs, outs, ids, size, lacking):
+                x.clear()
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_id", "held_out", "size", "ids", "lacking"])
 
         tokens_ = 0
         for batch in batches:
             for i, (text, out) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 words = tokens(text)
                 found = own.ids(words)
-                if out:
-                    seen = Counter(words[j] for j in np.flatnonzero(found < 0).tolist())
-                    at += [len(size)] * len(seen)
-                    rare += seen
-                    times += seen.values()
+                for j in np.flatnonzero(found < 0).tolist():
+                    found[j] = -1 - lacking.setdefault(words[j], len(lacking))
                 docs.append(batch.column(0).slice(i, 1))
                 outs.append(out)
                 ids.append(found.astype(np.int32))
@@ -488,17 +483,68 @@ def numbered_chunks(df: DataFrame, sent, id_col: str, text_col: str, folds: int,
         if size:
             yield row()
 
-    return map_batches(slim, run, f"chunk bigint, doc_id array<{kind}>, held_out binary, size binary, ids binary, at array<int>, word array<binary>, times array<int>")
+    return map_batches(slim, run, f"chunk bigint, doc_id array<{df.schema[id_col].dataType.simpleString()}>, held_out binary, size binary, ids binary, lacking array<binary>")
+
+
+def listed(a: pa.Array) -> pa.Array:
+    """A column of one row, which has all of a."""
+    return pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+
+
+def completed(chunks: DataFrame, seldom: DataFrame, words: int) -> DataFrame:
+    """(chunk, doc_id, held_out, size, ids, also, times) of numbered chunks whose lacking words have met (word, number, n).
+
+    Such a word of TWICE occurrences gets words + its number; of the others, -1 stands for one occurrence and -2 for none.
+    also are the numbers from words on, times their occurrences.
+    """
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+    met = chunks.select("chunk", F.posexplode("lacking").alias("at", "word")).join(seldom, "word").select("chunk", "at", "number", "n")
+
+    def run_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches if batch.num_rows]
+        chunk, at, number, n = np.concatenate(found, 1) if found else np.zeros((4, 0), np.int64)
+        order = np.argsort(chunk, kind="stable")
+        each = np.split(order, runs(chunk[order])[1:]) if len(order) else []
+        yield pa.RecordBatch.from_arrays([pa.array([chunk[x[0]] for x in each], pa.int64()), *(pa.array([packed(c[x]) for x in each], pa.binary()) for c in (at, number, n))], ["chunk", "at", "number", "n"])
+
+    met = map_batches(met.select("chunk", F.col("at").cast("bigint"), F.col("number").cast("bigint"), "n"), run_met, "chunk bigint, at binary, number binary, n binary")
+    rows = chunks.select("chunk", F.lit(1).alias("last"), "ids", "size", "held_out", "doc_id", F.size("lacking").alias("lacking"))
+    rows = rows.union(met.select("chunk", F.lit(0), "at", "number", "n", F.lit(None).cast(kind), F.lit(None).cast("int")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for i, (chunk, last, *row, lacking) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 4, 6)), strict=True)):
+                if not last:
+                    held.append(row)
+                    continue
+                at, number, n = (np.concatenate([np.zeros(0, np.int64), *(unpacked(x[j]) for x in held)]) for j in range(3))
+                held = []
+                often = n >= TWICE
+                new = np.full(lacking, -2)
+                new[at] = np.where(often, words + number, -1)
+                ids = unpacked(row[0])
+                low = np.flatnonzero(ids < 0)
+                ids[low] = new[-1 - ids[low]]
+                order = np.argsort(number[often])
+                columns = [pa.array([chunk]), batch.column(5).slice(i, 1), *(pa.array([x]) for x in (row[2], row[1], packed(ids), packed(words + number[often][order]), packed(n[often][order])))]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "doc_id", "held_out", "size", "ids", "also", "times"])
+
+    return map_batches(rows.repartition("chunk").sortWithinPartitions("chunk", "last"), run, f"chunk bigint, doc_id {kind}, held_out binary, size binary, ids binary, also binary, times binary")
 
 
 def parted_pairs(chunks: DataFrame, sent, parts: int) -> DataFrame:
-    """(part, chunk, keys, n): each chunk's distinct pairs of the longest states and how often training texts have them."""
+    """(part, chunk, keys, n, times): each chunk's distinct pairs of the longest states and how often training texts have them.
+
+    times are the occurrences of the next words that the tree lacks, for pairs of one word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for chunk, out, size, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for chunk, out, size, ids, also, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = unpacked(ids)
+                also, times = unpacked(also), unpacked(times)
                 *_, state = own.walk(ids)
                 good = np.flatnonzero((state >= 0) & (ids >= 0))
                 if not len(good):
@@ -511,32 +557,37 @@ def parted_pairs(chunks: DataFrame, sent, parts: int) -> DataFrame:
                 part = own.part(len(own.keys), keys, parts)
                 order = np.argsort(part, kind="stable")
                 first = runs(part[order])
-                each = np.split(order, first[1:])
-                yield pa.RecordBatch.from_arrays([pa.array(part[order][first]), pa.array([chunk] * len(each)), pa.array([packed(np.diff(keys[x], prepend=0)) for x in each]), pa.array([packed(n[x]) for x in each])], ["part", "chunk", "keys", "n"])
+                each, word = np.split(order, first[1:]), keys % own.words
+                rare = [w[w >= len(own.top) - 1] if len(own.keys) == 1 else w[:0] for w in (word[x] for x in each)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[order][first]), pa.array([chunk] * len(each)), pa.array([packed(np.diff(keys[x], prepend=0)) for x in each]), pa.array([packed(n[x]) for x in each]), pa.array([packed(times[np.searchsorted(also, w)] if len(w) else w) for w in rare])], ["part", "chunk", "keys", "n", "times"])
 
-    return map_batches(chunks.select("chunk", "held_out", "size", "ids"), run, "part int, chunk bigint, keys binary, n binary")
+    return map_batches(chunks.select("chunk", "held_out", "size", "ids", "also", "times"), run, "part int, chunk bigint, keys binary, n binary, times binary")
 
 
-def merged_pairs(rows: DataFrame, words: int) -> DataFrame:
-    """(part, kind, chunk, keys, n) of parted pairs whose parts have come together."""
+def merged_pairs(rows: DataFrame, words: int, own: int, k: int) -> DataFrame:
+    """(part, kind, chunk, keys, n, times) of parted pairs whose parts have come together; own is the number of the tree's words."""
 
-    def merged(part: int, found: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        keys, n = [rising(x) for _, x, _ in found], np.concatenate([unpacked(x) for *_, x in found])
+    def merged(part: int, found: list[tuple[int, bytes, bytes, bytes]]) -> pa.RecordBatch:
+        keys, n, times_of = [rising(x[1]) for x in found], np.concatenate([unpacked(x[2]) for x in found]), np.concatenate([unpacked(x[3]) for x in found])
         chunk, keys = np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in keys]), np.concatenate(keys)
+        root = np.zeros(len(keys), np.int64)
+        if k == 1:
+            root[keys % words >= own] = times_of
         order = np.argsort(keys, kind="stable")
         keys, n, chunk = keys[order], n[order], chunk[order]
         first = runs(keys)
+        root = root[order][first]
         n = np.add.reduceat(n, first)
         times = np.diff(first, append=len(keys))
         good = n >= TWICE
-        chunk, times, keys, n = chunk[np.repeat(good, times)], times[good], keys[first[good]], n[good]
+        chunk, times, keys, n, root = chunk[np.repeat(good, times)], times[good], keys[first[good]], n[good], root[good]
         state = keys // words
         first = runs(state)
         out = [(PAIRS, -1, keys, n), (SUMS, -1, state[first], np.add.reduceat(n, first) if len(n) else n), (OFTEN, -1, keys[n >= LEAST], n[n >= LEAST])]
         order, pair = np.argsort(chunk, kind="stable"), np.repeat(np.arange(len(keys)), times)
         for x in np.split(order, runs(chunk[order])[1:]) if len(order) else ():
             out.append((BACK, found[chunk[x[0]]][0], keys[pair[x]], n[pair[x]]))
-        return pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int32()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([packed(np.diff(x[2], prepend=0)) for x in out]), pa.array([packed(x[3]) for x in out])], ["part", "kind", "chunk", "keys", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int32()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([packed(np.diff(x[2], prepend=0)) for x in out]), pa.array([packed(x[3]) for x in out]), pa.array([packed(root)] + [None] * (len(out) - 1), pa.binary())], ["part", "kind", "chunk", "keys", "n", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -546,7 +597,7 @@ def merged_pairs(rows: DataFrame, words: int) -> DataFrame:
         while held:
             yield merged(*held.popitem())
 
-    return map_batches(rows, run, "part int, kind int, chunk bigint, keys binary, n binary")
+    return map_batches(rows, run, "part int, kind int, chunk bigint, keys binary, n binary, times binary")
 
 
 def state_sums(pairs: DataFrame, states: int) -> np.ndarray:
@@ -563,7 +614,7 @@ def state_sums(pairs: DataFrame, states: int) -> np.ndarray:
 
 def gains(pairs: list[DataFrame], sent, parts: int) -> DataFrame:
     """(length, state, gain, seen) of parts: how far pairs take a state from its suffix, and what the suffix gives to them."""
-    rows = [x.where(F.col("kind") == PAIRS).select("part", F.lit(k).alias("length"), "keys", "n") for k, x in enumerate(pairs, 1)]
+    rows = [x.where(F.col("kind") == PAIRS).select("part", F.lit(k).alias("length"), "keys", "n", "times") for k, x in enumerate(pairs, 1)]
     both = rows[0]
     for x in rows[1:]:
         both = both.union(x)
@@ -576,10 +627,10 @@ def gains(pairs: list[DataFrame], sent, parts: int) -> DataFrame:
         while held:
             _, found = held.popitem()
             shorter = p = None
-            for k, keys, n in sorted(found):
+            for k, keys, n, times in sorted(found):
                 keys, n = rising(keys), unpacked(n)
                 state, word = keys // own.words, keys % own.words
-                q = own.root[word] if k == 1 else p[np.searchsorted(shorter, own.suffix(k, state) * own.words + word)]  # a suffix has all pairs of its state
+                q = np.where(word < len(own.root), own.root[word.clip(max=len(own.root) - 1)], (unpacked(times) + TENTH) / own.denominator) if k == 1 else p[np.searchsorted(shorter, own.suffix(k, state) * own.words + word)]  # a suffix has all pairs of its state
                 p = (n + (MASS + own.rest[k - 1][state]) * q) / (own.total[k - 1][state] + MASS)
                 shorter, first = keys, runs(state)
                 if len(first):
@@ -588,23 +639,23 @@ def gains(pairs: list[DataFrame], sent, parts: int) -> DataFrame:
     return map_batches(both.repartition(parts, "part"), run, "length int, state bigint, gain double, seen double").groupBy("length", "state").agg(F.sum("gain").alias("gain"), F.sum("seen").alias("seen"))
 
 
-def parted(spark: SparkSession, tree: Tree, chunks: DataFrame, depth: int) -> tuple[Contexts, list[DataFrame]]:
+def parted(spark: SparkSession, tree: Tree, chunks: DataFrame, words: int, depth: int) -> tuple[Contexts, list[DataFrame]]:
     """(the tree's contexts, merged pairs by length); the tree's depths get the states alone."""
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts, words, none = 2 * shuffles, len(tree.words), np.zeros(0, np.int64)
+    parts, none = 2 * shuffles, np.zeros(0, np.int64)
     end = tree.words.index(END) if END in tree.words else -1
     own = np.flatnonzero(tree.unigrams >= LEAST)
     keys, total = own[own != end].astype(np.int64), tree.unigrams[own[own != end]]
-    top = np.full(words + 1, -1, np.int64)
+    top = np.full(len(tree.words) + 1, -1, np.int64)
     top[keys] = np.arange(len(keys))
-    contexts, pairs = Contexts(words, top, total * parts // max(tree.n, 1) + 1, []), []
+    contexts, pairs = Contexts(words, top, total * parts // max(tree.n, 1) + 1, [], root=(tree.unigrams + TENTH) / tree.denominator, denominator=tree.denominator), []
     for k in range(1, depth + 1):
         if not len(keys):
             break
         tree.depths.append(d := Depth(keys, total, np.zeros(len(keys), bool), none, none, total.astype(np.float64), none))
         contexts = replace(contexts, keys=[*contexts.keys, keys], total=[*contexts.total, total])
-        sent = spark.sparkContext.broadcast(replace(contexts, total=[]))
-        pairs.append(stored(merged_pairs(parted_pairs(chunks, sent, parts).repartition(shuffles, "part"), words), "pairs"))
+        sent = spark.sparkContext.broadcast(replace(contexts, total=[], root=None))
+        pairs.append(stored(merged_pairs(parted_pairs(chunks, sent, parts).repartition(shuffles, "part"), words, len(tree.words), k), "pairs"))
         sent.destroy()
         d.rest = total - state_sums(pairs[-1], len(keys))
         often = pairs[-1].where(F.col("kind") == OFTEN).select("keys", "n").toArrow()  # at most a hundredth of the tokens
@@ -617,7 +668,7 @@ def parted(spark: SparkSession, tree: Tree, chunks: DataFrame, depth: int) -> tu
         keys, total = keys[order], total[order]
     if not pairs:
         return contexts, pairs
-    contexts = replace(contexts, rest=[d.rest for d in tree.depths], root=(tree.unigrams + TENTH) / tree.denominator)
+    contexts = replace(contexts, rest=[d.rest for d in tree.depths])
     sent = spark.sparkContext.broadcast(contexts)
     found = gains(pairs, sent, shuffles).toArrow()  # a row a state
     sent.destroy()
@@ -630,23 +681,28 @@ def parted(spark: SparkSession, tree: Tree, chunks: DataFrame, depth: int) -> tu
     return replace(contexts, kept=[d.kept for d in tree.depths]), pairs
 
 
-def chunk_scores(chunks: DataFrame, pairs: list[DataFrame], sent, seldom: float, kind: str) -> DataFrame:
-    """(key, doc_id, held_out, n_tokens, n_known, base, score) of chunks' texts, which meet their own pairs; seldom is the log10 of a training text's word that the tree lacks."""
-    rows = chunks.select("chunk", F.lit(len(pairs) + 1).alias("length"), F.col("ids").alias("keys"), F.col("size").alias("n"), "held_out", "doc_id")
+def chunk_scores(chunks: DataFrame, pairs: list[DataFrame], sent, n: int) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of chunks' texts, which meet their own pairs; n is train_tokens."""
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+    rows = chunks.select("chunk", F.lit(len(pairs) + 1).alias("length"), F.col("ids").alias("keys"), F.col("size").alias("n"), "held_out", "also", "times", "doc_id")
     for k, x in enumerate(pairs, 1):
-        rows = rows.union(x.where(F.col("kind") == BACK).select("chunk", F.lit(k), "keys", "n", F.lit(None).cast("binary"), F.lit(None).cast(f"array<{kind}>")))
+        rows = rows.union(x.where(F.col("kind") == BACK).select("chunk", F.lit(k), "keys", "n", *[F.lit(None).cast("binary")] * 3, F.lit(None).cast(kind)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held = sent.value, [[] for _ in pairs_]
         for batch in batches:
-            for i, (chunk, length, keys, n, out) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True)):
+            for i, (_, length, keys, n, out, also, times) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:7]), strict=True)):
                 if length <= len(held):
                     held[length - 1].append((keys, n))
                     continue
                 ids, size, out = unpacked(keys), unpacked(n), unpacked(out)
-                known = ids >= 0
-                p = np.ones(len(ids))
-                p[known] = own.root[ids[known]]
+                also, times = unpacked(also), unpacked(times)
+                c = (ids == -1).astype(np.float64)  # -2 has none
+                rare = np.flatnonzero(ids >= len(own.root))
+                c[rare] = times[np.searchsorted(also, ids[rare])] if len(rare) else 0
+                p = (c + TENTH) / own.denominator
+                common = np.flatnonzero((ids >= 0) & (ids < len(own.root)))
+                p[common] = own.root[ids[common]]
                 base = np.log10(p)
                 for k, state in enumerate(own.walk(ids) if held else (), 1):
                     entries, counts = (np.concatenate([np.zeros(0, np.int64), *(f(x[j]) for x in held[k - 1])]) for j, f in ((0, rising), (1, unpacked)))
@@ -659,15 +715,12 @@ def chunk_scores(chunks: DataFrame, pairs: list[DataFrame], sent, seldom: float,
                     p[on] = (m + (MASS + own.rest[k - 1][s]) * p[on]) / (own.total[k - 1][s] + MASS)
                 held = [[] for _ in held]
                 start = np.cumsum(size) - size
-                rare = np.where(out == 1, 0, np.add.reduceat(~known, start, dtype=np.int64))
-                n_known, base, score = np.add.reduceat(known, start, dtype=np.int64) + rare, np.add.reduceat(base, start) + rare * seldom, np.add.reduceat(np.log10(p), start) + rare * seldom
-                docs = batch.column(5)
-                columns = [pa.array((chunk << 31) + np.arange(len(size))), docs.slice(i, 1).flatten(), pa.array(out == 1), *map(pa.array, (size, n_known, base, score))]
-                done = pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+                columns = [batch.column(7).slice(i, 1).flatten(), pa.array(out == 1), *map(pa.array, (size, np.add.reduceat(ids >= -1, start, dtype=np.int64), np.full(len(size), n_), np.add.reduceat(base, start), np.add.reduceat(np.log10(p), start)))]
+                done = pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
                 yield from (done.slice(lo, 10_000) for lo in range(0, len(size), 10_000))
 
-    pairs_ = range(len(pairs))
-    return map_batches(rows.repartition("chunk").sortWithinPartitions("chunk", "length"), run, f"key bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
+    n_, pairs_ = n, range(len(pairs))
+    return map_batches(rows.repartition("chunk").sortWithinPartitions("chunk", "length"), run, f"doc_id {kind[6:-1]}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def scored(df: DataFrame, folds: int = 10, held: int = 0, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, bounded: bool = False) -> DataFrame:
@@ -675,16 +728,16 @@ def scored(df: DataFrame, folds: int = 10, held: int = 0, id_col: str = "doc_id"
     if bounded:
         return scored_bounded(df, folds, held, id_col, text_col, depth)
     spark = df.sparkSession
-    counts = stored(word_counts(trained(df, folds, held, id_col, text_col)), "words")
-    tree, _ = seeds(spark, counts)
+    counts = arrivals(word_counts(trained(df, folds, held, id_col, text_col)), "number")
+    tree, floor = seeds(spark, counts, floor=min(LEAST, floor_within(counts, TWICE, MAX_WORDS)))
     sent = spark.sparkContext.broadcast(tree)
-    chunks = stored(numbered_chunks(df, sent, id_col, text_col, folds, held), "ids")  # texts are split once more, then never again
+    first = numbered_chunks(df, sent, id_col, text_col, folds, held)  # texts are split once more, then never again
+    first.write.option("compression", "zstd").parquet(path := new_path(spark, "ids"))
     sent.destroy()
-    contexts, pairs = parted(spark, tree, chunks, depth)
-    contexts = replace(contexts, root=(tree.unigrams + TENTH) / tree.denominator)
-    done = chunk_scores(chunks, pairs, spark.sparkContext.broadcast(contexts), math.log10((1 + TENTH) / tree.denominator), df.schema[id_col].dataType.simpleString())
-    words = chunks.select("chunk", F.explode(F.arrays_zip("at", "word", "times")).alias("x")).select((F.shiftleft("chunk", 31) + F.col("x.at")).alias("key"), "x.word", "x.times")
-    return summed(done, words, counts.where(F.col("n") < TWICE), tree)
+    chunks = stored(completed(spark.read.schema(first.schema).parquet(path), counts.where(F.col("n") < floor), len(tree.words)), "ids")
+    removed(spark, path)
+    contexts, pairs = parted(spark, tree, chunks, len(tree.words) + tree.v + 1, depth)
+    return chunk_scores(chunks, pairs, spark.sparkContext.broadcast(contexts), tree.n)
 
 
 def perplexity(log10_score: float, n_tokens: int) -> float:
